@@ -3,13 +3,26 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import tokenizers, truncation
+from newsloom.llm import residue, tokenizers, truncation
 from newsloom.plans.registry import Registry
 from newsloom.sources import table
 
 llm = Registry()
 
 
+def _residue(spark: SparkSession, folder: str, src: str) -> DataFrame:
+    """row_id of the rows of fetch_results or article_records in p5_found."""
+    key, text, markup = {"fetch_results": ("fetch_id", "html", True), "article_records": ("record_id", "body", False)}[src]
+    return residue.flag(table(spark, folder, src), text, [key], markup).withColumnRenamed(key, "row_id")
+
+
+@llm.query()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """src, row_id: rows with residue in place of an article or of a part of it."""
+    found = [_residue(spark, folder, src).select(F.lit(src).alias("src"), "row_id") for src in ("fetch_results", "article_records")]
+    return found[0].unionByName(found[1]).distinct()
+
+
 @llm.query()
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ids: each document encoded by byte_bpe_50k."""

@@ -32,14 +32,23 @@ _CLOSING = (
 )
 
 
+def trim_end(text: Column) -> Column:
+    return F.rtrim(text, F.lit(" \t\n\r\f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u3000\ufeff"))
+
+
+def body(text: Column) -> Column:
+    """The text without the mark of a cut."""
+    trimmed = trim_end(text)
+    return F.when(F.right(trimmed, F.lit(64)).rlike(_MARKED), F.regexp_replace(trimmed, MARKS, "")).otherwise(trimmed)
+
+
 def end_marks(text: Column) -> Column:
-    """A struct: body (the text without cut marks), marked, ended (by a sentence), closing (a complete last line that is no sentence), lines, worded."""
-    trimmed = F.regexp_replace(text, r"[\s​‌‍﻿]+$", "")
+    """A struct: marked, ended (by a sentence), closing (a complete last line that is no sentence), lines, worded."""
+    trimmed = trim_end(text)
     line = F.substring_index(trimmed, "\n", -1)
     tail = F.right(trimmed, F.lit(64))
     marked = tail.rlike(_MARKED)
     return F.struct(
-        F.when(marked, F.regexp_replace(trimmed, MARKS, "")).otherwise(trimmed).alias("body"),
         marked.alias("marked"),
         tail.rlike(_ENDED).alias("ended"),
         line.rlike(_CLOSING).alias("closing"),
@@ -88,16 +97,22 @@ def truncated(df: DataFrame, text: str, key: str) -> DataFrame:
     same text share its fate; other columns are ignored.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
-    rows = rows.withColumn("x", end_marks(F.col("t"))).where("x.worded").select("k", "t", "x.*")
-    prefixed = rows.where(F.length("body") >= PREFIX).select("body", F.xxhash64(F.substring("body", 1, PREFIX)).alias("h"), F.xxhash64("body").alias("whole"))
-    shared = prefixed.groupBy("h").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a != b").select("h")
-    rivals = cut(prefixed.join(shared, "h", "left_semi").select("body").distinct())
-    longer = _with_longer(rivals).groupBy("body").agg(F.first("follows").alias("follows"))
-    longer = longer.select(F.xxhash64("body").alias("whole"), F.sha2("body", 256).alias("sha"), "follows")
-    rows = rows.withColumn("whole", F.xxhash64("body"))
-    held = rows.join(longer, "whole", "left").withColumn("same", F.col("sha") == F.sha2("body", 256))
-    by_copy = F.coalesce(F.col("same") & (F.col("marked") | ~F.col("ended") | F.col("follows").rlike(r"[\p{L}\p{M}\p{N}]")) & ~F.col("closing"), F.lit(False))
-    sentence_before = F.col("t").rlike(r"[.!?।۔؟][\"'”’»)]*\s+\S")
-    by_end = ~F.col("ended") & ~F.col("closing") & (F.col("lines") | sentence_before)
-    held = held.select("k", by_copy.alias("by_copy"), F.col("marked").alias("by_mark"), F.coalesce(by_end & ~F.col("marked"), F.lit(False)).alias("by_end"))
+    bare = body(F.col("t"))
+    seen = rows.select(
+        "k", F.xxhash64("t").alias("text"), end_marks(F.col("t")).alias("x"), F.xxhash64(bare).alias("whole"),
+        F.when(F.length(bare) >= PREFIX, F.xxhash64(F.substring(bare, 1, PREFIX))).alias("h"),
+        F.col("t").rlike(r"[.!?।۔؟][\"'”’»)]*\s+\S").alias("before"),
+    )
+    seen = cut(seen.where("x.worded").select("k", "text", "x.*", "whole", "h", "before"))  # read once; the texts stay where they are
+    shared = seen.where("h IS NOT NULL").groupBy("h").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a != b").select("h")
+    rivals = seen.join(shared, "h", "left_semi").select("text").distinct()
+    rivals = rows.withColumn("text", F.xxhash64("t")).join(rivals, "text", "left_semi").select(bare.alias("body")).distinct()
+    longer = _with_longer(cut(rivals)).groupBy("body").agg(F.first("follows").alias("follows"))
+    longer = longer.select(F.xxhash64("body").alias("whole"), "follows")
+    held = seen.join(longer, "whole", "left")
+    open_end = ~F.col("ended") & ~F.col("closing")
+    inside = F.col("marked") | open_end | F.col("follows").rlike(r"[\p{L}\p{M}\p{N}]")
+    by_copy = F.col("follows").isNotNull() & inside & ~F.col("closing")
+    by_end = open_end & ~F.col("marked") & (F.col("lines") | F.col("before"))
+    held = held.select("k", by_copy.alias("by_copy"), F.col("marked").alias("by_mark"), by_end.alias("by_end"))
     return held.where("by_copy OR by_mark OR by_end").select(F.col("k").alias(key), "by_copy", "by_mark", "by_end")

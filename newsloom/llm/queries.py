@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import residue, tokenizers, truncation
+from newsloom.llm import boilerplate, residue, tokenizers, truncation
 from newsloom.plans.registry import Registry
 from newsloom.sources import table
 
@@ -16,6 +16,48 @@ def _residue(spark: SparkSession, folder: str, src: str) -> DataFrame:
     return residue.flag(table(spark, folder, src), text, [key], markup).withColumnRenamed(key, "row_id")
 
 
+def _sound_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """article_records without the rows of p5_found."""
+    found = _residue(spark, folder, "article_records").withColumnRenamed("row_id", "record_id")
+    return table(spark, folder, "article_records").join(found, "record_id", "left_anti")
+
+
+@llm.query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """record_id, line_no: lines that recur across the records of a source."""
+    return boilerplate.repeated_lines(table(spark, folder, "article_records"), "record_id", "source_id", "body").select("record_id", "line_no")
+
+
+@llm.query()
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """record_id and body of each article without the lines of p3_found."""
+    articles = table(spark, folder, "article_records").select("record_id", "source_id", "body")
+    found = boilerplate.repeated_lines(articles, "record_id", "source_id", "body")
+    return boilerplate.without_lines(articles, "record_id", "body", found).select("record_id", "body")
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages and weakly extracted bodies that mix articles with furniture."""
+    host = lambda url: F.regexp_replace(F.lower(F.parse_url(url, F.lit("HOST"))), r"^(www|m|amp)\.", "")
+    domains = table(spark, folder, "sources").select("source_id", F.col("domain").alias("host"))
+    fetched = table(spark, folder, "fetch_results").select(
+        F.lit("fetch_results").alias("src"), F.col("fetch_id").alias("row_id"), host(F.col("url")).alias("host"), F.col("url").alias("page"), F.col("html").alias("text"), F.lit(True).alias("markup")
+    )
+    kept = table(spark, folder, "temp_documents").select(
+        F.lit("temp_documents").alias("src"), F.col("temp_id").alias("row_id"), host(F.col("url")).alias("host"), F.col("url").alias("page"), F.col("raw_html").alias("text"), F.lit(True).alias("markup")
+    )
+    weak = table(spark, folder, "article_records").where("extraction_confidence = 'low'").join(F.broadcast(domains), "source_id", "left").select(
+        F.lit("article_records").alias("src"), F.col("record_id").alias("row_id"), "host", F.coalesce("url", F.col("record_id").cast("string")).alias("page"), F.col("body").alias("text"), F.lit(False).alias("markup")
+    )
+    return fetched.unionByName(kept).unionByName(weak)
+
+
+@llm.query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """src, row_id, para_key: the paragraphs of the running text of pages and of weakly extracted bodies."""
+    return boilerplate.main_paragraphs(_pages(spark, folder)).join(p5_found(spark, folder), ["src", "row_id"], "left_anti")
+
+
 @llm.query()
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """src, row_id: rows with residue in place of an article or of a part of it."""

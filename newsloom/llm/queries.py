@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import boilerplate, residue, tokenizers, truncation
+from newsloom.llm import boilerplate, lookalikes, residue, tokenizers, truncation
 from newsloom.plans.registry import Registry
+from newsloom.session import cut
 from newsloom.sources import table
 
 llm = Registry()
@@ -88,3 +89,17 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("documents"), count("cut").alias("cut"), count("by_copy").alias("by_copy"), count("by_mark").alias("by_mark"), count("by_end").alias("by_end"),
         F.round(count("cut") / F.count("*"), 6).alias("rate"),
     )
+
+
+@llm.query()
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """src, id_a, id_b: rows whose values look the same and differ."""
+    articles = _sound_articles(spark, folder)
+    values = [
+        articles.select("batch_no", F.col("record_id").alias("id"), F.lit(src).alias("src"), F.col(c).alias("value")) for src, c in (("article_title", "title"), ("article_body", "body"))
+    ]
+    names = table(spark, folder, "knowledge_entities").select(
+        F.lit(0).alias("batch_no"), F.col("entity_no").cast("bigint").alias("id"), F.lit("entity_hindi").alias("src"), F.explode("hindi_names").alias("value")
+    )
+    forms = lookalikes.with_forms(values[0].unionByName(values[1]).unionByName(names), "value", ["src", "batch_no", "id"])
+    return lookalikes.same_looks(cut(forms), "id", ["src", "batch_no"]).select("src", "id_a", "id_b")

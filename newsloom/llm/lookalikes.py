@@ -5,8 +5,8 @@ in which it has a look-alike. Where the letters of a token are of several script
 confusable) and the sets of all letters share one, the token is spelled in that script; where all
 letters of a token of one script have look-alikes in another script that the text around is
 written in (whole-script confusable), it is spelled in that one. Remaining forms (width, presentation
-forms, composition, kinds of space, invisible characters) are normalised by rule. Letter case,
-digits, punctuation and vowel signs are kept.
+forms, composition, kinds of space, invisible characters) are normalised by rule. Letter case, digits,
+punctuation, vowel signs and the number of spaces are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SAME = "كک يی ىی ہه ەہ ۀۂ ɑa ɡg ıi".split()
 SEQUENCES = "अा आ|आै औ|अॅ ॲ|अॉ ऑ|अो ओ|अौ औ|एे ऐ|অা আ".split("|")
 
 _MARK = re.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]+")
-_SPACE = re.compile(r"[ \t   -     　]+")
+_SPACE = re.compile(r"[ \t   -     　]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -78,7 +78,7 @@ def _special() -> re.Pattern:
     runs.append((start, last))
     forms = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
     sequences = "|".join(re.escape(x.split()[0]) for x in SEQUENCES)
-    return re.compile(rf"[{forms}Ͱ-֏ἀ-῿]|{_MARK.pattern}|[\t   -     　]|  |{sequences}")
+    return re.compile(rf"[{forms}Ͱ-֏ἀ-῿]|{_MARK.pattern}|[\t   -     　]|{sequences}")
 
 
 def _script(c: str) -> str:
@@ -121,8 +121,8 @@ def _main_script(text: str) -> str:
 
 def normal_form(text: str) -> str:
     """The form in which texts that look the same are equal; the empty text stays empty."""
-    if text.isascii() and "  " not in text and "\t" not in text:
-        return text.strip(" ")
+    if text.isascii() and "\t" not in text:
+        return text
     if _special().search(text):
         text = _MARK.sub("", text).translate(_forms())
         text = _SPACE.sub(" ", text)
@@ -133,7 +133,7 @@ def normal_form(text: str) -> str:
         if _FOREIGN.search(text):
             around = _main_script(text)
             text = _TOKEN.sub(lambda m: _spell(m.group(), around), text)
-    return unicodedata.normalize("NFC", text).strip(" ")
+    return unicodedata.normalize("NFC", text)
 
 
 def with_forms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import boilerplate, lookalikes, residue, tokenizers, truncation
+from newsloom.llm import boilerplate, language, lookalikes, residue, tokenizers, truncation
 from newsloom.plans.registry import Registry
 from newsloom.session import cut
 from newsloom.sources import table
@@ -23,6 +23,42 @@ def _sound_articles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "article_records").join(found, "record_id", "left_anti")
 
 
+def _model(spark: SparkSession, folder: str) -> language.Model:
+    return language.train(table(spark, folder, "documents"), "text", "lang", "doc_id")
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """src, row_id, story_id, label, text of the three tables with labelled texts."""
+    none = F.lit(None).cast("bigint").alias("story_id")
+    return (
+        table(spark, folder, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("row_id"), none, F.col("lang").alias("label"), "text")
+        .unionByName(_sound_articles(spark, folder).select(F.lit("article_records").alias("src"), F.col("record_id").alias("row_id"), F.col("story_id").cast("bigint").alias("story_id"), F.col("language").alias("label"), F.col("body").alias("text")))
+        .unionByName(table(spark, folder, "bilingual_test_set").select(F.lit("bilingual_test_set").alias("src"), F.col("item_id").alias("row_id"), none, F.col("expected").alias("label"), "text"))
+    )
+
+
+@llm.query()
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """src, row_id, language: the right languages of each text and story whose label is absent, wrong or too simple."""
+    texts = language.detect(_labelled(spark, folder), "text", ["src", "row_id", "story_id", "label"], _model(spark, folder))
+    texts = cut(texts.drop("segments", "confidence"))
+    code = language.label_code(F.col("label"))
+    wrong = code.isNull() | (F.size("languages") > 1) | (code != F.element_at("languages", 1))
+    rows = texts.where((F.size("languages") > 0) & wrong).select("src", "row_id", F.explode("languages").alias("language"))
+    right = texts.where("src = 'article_records' AND story_id IS NOT NULL AND language IS NOT NULL")
+    right = right.groupBy("story_id").agg(F.array_sort(F.collect_set("language")).alias("right"))  # at most five of them
+    said = F.array_sort(F.array_distinct(F.transform("languages", lambda x: F.coalesce(language.label_code(x), F.lit("")))))
+    stories = table(spark, folder, "stories").select("story_id", said.alias("said")).join(right, "story_id")
+    stories = stories.where(F.col("said").isNull() | (F.col("said") != F.col("right")))
+    return rows.unionByName(stories.select(F.lit("stories").alias("src"), F.col("story_id").alias("row_id"), F.explode("right").alias("language"))).distinct()
+
+
+@llm.query()
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's language and its segments, with confidence."""
+    return language.detect(table(spark, folder, "documents"), "text", ["doc_id"], _model(spark, folder))
+
+
 @llm.query()
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """record_id, line_no: lines that recur across the records of a source."""

@@ -171,8 +171,12 @@ def fit(labelled: list[tuple[str, str]]) -> Model:
 
 def train(df: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE) -> Model:
     """fit() on at most `sample` labelled rows of df."""
-    rows = df.select(label_code(F.col(label)).alias("code"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"), F.col(key).alias("k"))
-    rows = rows.where(F.col("code").isin(list(NAMES)) & (F.length("text") > 0)).orderBy("h", "k", "text").limit(sample)
+    rows = df.select(label_code(F.col(label)).alias("code"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
+    rows = rows.where(F.col("code").isin(list(NAMES)) & (F.length("text") > 0))
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes first, so that tasks send no texts that aren't used
+    if last is None:
+        return fit([])
+    rows = rows.where(F.col("h") <= last).limit(2 * sample)  # more than the sample only if a key is repeated
     return fit([(r["code"], r["text"]) for r in rows.select("code", "text").collect()])
 
 
@@ -197,7 +201,7 @@ def detect(df: DataFrame, text: str, keys: list[str], model: Model) -> DataFrame
         for k, c in enumerate(model_languages):
             by[:, order[c]] = np.maximum(by[:, order[c]], scores[:, k])
         mean = (by - by.max(axis=1, keepdims=True)) / np.maximum(words, 1)[:, None]
-        share = np.exp(mean * 2)
+        share = np.exp(mean * 0.5)
         return by.argmax(axis=1), 1 / share.sum(axis=1)
 
     model_languages = model.languages

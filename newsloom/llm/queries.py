@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import boilerplate, language, lookalikes, residue, tokenizers, truncation
+from newsloom.llm import boilerplate, history, language, lookalikes, residue, tokenizers, truncation
 from newsloom.plans.registry import Registry
 from newsloom.session import cut
 from newsloom.sources import table
@@ -139,3 +139,34 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     )
     forms = lookalikes.with_forms(values[0].unionByName(values[1]).unionByName(names), "value", ["src", "batch_no", "id"])
     return lookalikes.same_looks(cut(forms), "id", ["src", "batch_no"]).select("src", "id_a", "id_b")
+
+
+def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """The accepted history as batch 0, and the records of the batches without those of p5_found."""
+    names = table(spark, folder, "sources").select(F.col("source_id").alias("source"), F.col("name").alias("site"))
+    known = table(spark, folder, "known_articles").select(
+        F.col("known_id").alias("id"), F.lit(0).alias("batch"), F.col("source_id").alias("source"), F.col("canonical_url").alias("url"), F.col("headline").alias("title"), "body"
+    )
+    given = F.when(F.trim("canonical_url") != "", F.col("canonical_url"))
+    records = _sound_articles(spark, folder).select(
+        F.col("record_id").alias("id"), F.col("batch_no").alias("batch"), F.col("source_id").alias("source"), F.coalesce(given, "url").alias("url"), "title", "body"
+    )
+    return known.unionByName(records).join(F.broadcast(names), "source", "left")
+
+
+BATCHES = [1, 2, 3, 4, 5, 6]
+
+
+@llm.query()
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """id_a, id_b: records that repeat an accepted article or one of an earlier batch, and that article."""
+    return history.repeats(_arrivals(spark, folder), BATCHES).where("id_a < id_b")
+
+
+@llm.query()
+def p7_accepted(spark: SparkSession, folder: str) -> DataFrame:
+    """How many records of each batch came, repeated something, and are accepted."""
+    rows = _arrivals(spark, folder)
+    found = history.repeats(rows, BATCHES).select(F.col("id_b").alias("id")).distinct().withColumn("repeat", F.lit(1))
+    new = rows.where("batch > 0").select("id", "batch").join(found, "id", "left")
+    return new.groupBy("batch").agg(F.count("*").alias("records"), F.count("repeat").alias("repeats"), (F.count("*") - F.count("repeat")).alias("accepted"))

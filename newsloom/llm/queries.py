@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import boilerplate, history, language, lookalikes, residue, tokenizers, truncation
+from newsloom.llm import boilerplate, history, language, lookalikes, mixing, residue, tokenizers, truncation
 from newsloom.plans.registry import Registry
 from newsloom.session import cut
 from newsloom.sources import table
@@ -170,3 +170,19 @@ def p7_accepted(spark: SparkSession, folder: str) -> DataFrame:
     found = history.repeats(rows, BATCHES).select(F.col("id_b").alias("id")).distinct().withColumn("repeat", F.lit(1))
     new = rows.where("batch > 0").select("id", "batch").join(found, "id", "left")
     return new.groupBy("batch").agg(F.count("*").alias("records"), F.count("repeat").alias("repeats"), (F.count("*") - F.count("repeat")).alias("accepted"))
+
+
+def _mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), "doc_id", "text", "source")
+
+
+@llm.query()
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents chosen for each plan, with their repeats and tokens."""
+    return _mix(spark, folder)
+
+
+@llm.query()
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source of each plan."""
+    return mixing.shares(_mix(spark, folder), table(spark, folder, "mix_targets"))

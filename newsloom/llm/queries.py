@@ -18,8 +18,8 @@ def _residue(spark: SparkSession, folder: str, src: str) -> DataFrame:
 
 
 def _sound_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """article_records without the rows of p5_found."""
-    found = _residue(spark, folder, "article_records").withColumnRenamed("row_id", "record_id")
+    """article_records without the rows of p5_found, whose ids are written first: else each use of the result would judge all bodies again."""
+    found = cut(_residue(spark, folder, "article_records").withColumnRenamed("row_id", "record_id").distinct())
     return table(spark, folder, "article_records").join(found, "record_id", "left_anti")
 
 

@@ -4,7 +4,7 @@ import importlib
 
 from newsloom.plans.registry import Registry, core
 
-MODULES = ("time",)
+MODULES = ("time", "articles", "stories")
 
 
 def load() -> Registry:

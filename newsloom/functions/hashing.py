@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PRIME = (1 << 61) - 1
 _MULTIPLIER, _INCREMENT = 6364136223846793005, 1442695040888963407
@@ -34,12 +35,12 @@ def signature(items: list[str], count: int = 128, seed: int = 42) -> list[int]:
     return [min((a * h + b) % PRIME for h in hashes) for a, b in parameters(count, seed)]
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def minhash(items: pd.Series) -> pd.Series:
     return items.map(lambda x: signature([] if x is None else list(x)))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def simhash(words: pd.Series) -> pd.Series:
     """64 bits, each set if the words' SHA-256 bits, weighted by frequency, sum above 0; as a signed number."""
 

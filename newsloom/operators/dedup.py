@@ -45,20 +45,22 @@ def batch_duplicates(df: DataFrame, most_rounds: int = 50) -> DataFrame:
     ))).alias("k"))
     rows = rows.select("id", "k.rule", "k.key")
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    open_ = cut(rows.join(shared, "key", "left_semi"))
-    done = None
+    all_ = cut(rows.join(shared, "key", "left_semi"))
+    open_, owners = all_, None
     for _ in range(most_rounds):
-        first = open_.groupBy("key").agg(F.min("id").alias("first"))
-        held = open_.join(first, "key")
+        held = open_.join(open_.groupBy("key").agg(F.min("id").alias("first")), "key")
         kept = held.groupBy("id").agg(F.min(F.col("first") == F.col("id")).alias("kept")).where("kept").select("id")  # first in each of its keys
-        owners = held.join(kept, "id", "left_semi").select("key", F.col("id").alias("owner"))
-        new = open_.join(owners, "key").where("id > owner").groupBy("id").agg(F.min(F.struct("rule", "owner")).alias("m")).select("id", F.col("m.owner").alias("duplicate_of"))
-        new = cut(new)
-        done = new if done is None else cut(done.unionByName(new))
-        open_ = cut(open_.join(new.select("id"), "id", "left_anti").join(kept, "id", "left_anti"))
+        now = cut(held.join(kept, "id", "left_semi").select("key", F.col("id").alias("owner")))
+        owners = now if owners is None else cut(owners.unionByName(now))
+        settled = open_.join(now.select("key"), "key", "left_semi").select("id").distinct()  # the kept ones and their duplicates
+        open_ = cut(open_.join(settled, "id", "left_anti"))
         if open_.isEmpty():
-            return done
-    raise RuntimeError(f"chains of duplicates are longer than {most_rounds}")
+            break
+    else:
+        raise RuntimeError(f"chains of duplicates are longer than {most_rounds}")
+    # kept rows share no key, so each key has one owner at most
+    named = all_.join(owners, "key").where("id > owner").groupBy("id").agg(F.min(F.struct("rule", "owner")).alias("m"))
+    return named.select("id", F.col("m.owner").alias("duplicate_of"))
 
 
 def with_signature(df: DataFrame, body: str) -> DataFrame:

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MOST = 100_000
@@ -82,7 +82,12 @@ def mentions(df: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     sizes = sorted(r[0] for r in surfaces.select("n").distinct().collect())  # lengths of names in words
     texts = df.select(F.col(key).alias("k"), words(F.col(text)).alias("w"))
     runs = F.lit(None).cast("array<string>")
-    parts = [F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")) for n in sizes]
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    parts = [of(n) for n in sizes]
     runs = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])) if parts else runs
     found = texts.select("k", F.explode(F.array_distinct(runs)).alias("surface")).join(surfaces, "surface")
     return found.select(F.col("k").alias(key), "entity").distinct()

@@ -78,10 +78,15 @@ def _placeholder(text: str) -> bool:
 def _filler(line: str) -> bool:
     if _FILLER.match(line):
         return True
-    words = _WORD.findall(line.lower())
+    words = line.split()
     if len(words) < 8:
         return False
-    return sum(w in _LOREM for w in words) >= 0.6 * len(words) or len(set(words)) <= 0.25 * len(words)
+    if len(set(words)) <= 0.25 * len(words):
+        return True
+    if not any(w.strip(".,").lower() in _LOREM for w in words[:3]):  # a filler line has no other words
+        return False
+    words = _WORD.findall(line.lower())
+    return sum(w in _LOREM for w in words) >= 0.6 * len(words)
 
 
 def _message(line: str) -> bool:

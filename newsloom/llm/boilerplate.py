@@ -185,9 +185,10 @@ def main_paragraphs(pages: DataFrame) -> DataFrame:
     sizes = found.groupBy("host").agg(F.count_distinct("page").alias("pages"))
     page = lambda where: F.count_distinct(F.when(where, F.col("page")))
     shown, inside = F.col("markup"), F.col("inside")  # where a line of extracted text stood isn't known
-    counted = found.groupBy("host", "tree").agg(F.count_distinct("page").alias("on"), page(shown & inside).alias("within"), page(shown & ~inside).alias("without"))
-    site = counted.join(F.broadcast(sizes), "host").where((F.col("on") >= PAGES) & (F.col("on") >= PAGE_SHARE * F.col("pages"))).select("host", "tree")
+    site = found.groupBy("host", "key").agg(F.count_distinct("page").alias("on")).where(F.col("on") >= PAGES)
+    site = site.join(F.broadcast(sizes), "host").where(F.col("on") >= PAGE_SHARE * F.col("pages")).select("host", "key")
+    counted = found.where(shown).groupBy("host", "tree").agg(page(inside).alias("within"), page(~inside).alias("without"))
     anywhere = counted.groupBy("tree").agg(F.sum("within").alias("within"), F.sum("without").alias("without"))
     anywhere = anywhere.where((F.col("without") >= OUTSIDE) & (F.col("without") >= OUTSIDE_TIMES * F.col("within"))).select("tree")
-    kept = found.where("inside").join(site, ["host", "tree"], "left_anti").join(anywhere, "tree", "left_anti")
+    kept = found.where("inside").join(site, ["host", "key"], "left_anti").join(anywhere, "tree", "left_anti")
     return kept.select("src", "row_id", F.col("key").alias("para_key")).distinct()

@@ -81,7 +81,7 @@ def _filler(line: str) -> bool:
     words = line.split()
     if len(words) < 8:
         return False
-    if len(set(words)) <= 0.25 * len(words):
+    if len(set(words)) <= min(10, 0.25 * len(words)):
         return True
     if not any(w.strip(".,").lower() in _LOREM for w in words[:3]):  # a filler line has no other words
         return False

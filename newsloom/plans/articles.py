@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import codes, text, urls
-from newsloom.operators import dedup, evaluate, windows
+from newsloom.functions import codes, languages, text, urls
+from newsloom.operators import dedup, evaluate, extract, lexicon, models, windows
 from newsloom.plans.registry import core
 from newsloom.sources import sinks, table
 
@@ -210,3 +210,73 @@ def latest_delivery(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "crawl_queue").select("queue_id", "status", "created_at")
     newest = windows.latest(rows, ["queue_id"], [F.col("created_at"), F.col("status")])
     return newest.select("queue_id", "status").join(rows.groupBy("queue_id").agg(F.count("*").alias("deliveries")), "queue_id")
+
+
+def _profile_sql(code: str) -> str:
+    words_ = ", ".join(f"'{w}'" for w in languages.PROFILES[code][1])
+    return f"len(list_filter(w, lambda x: x IN ({words_})))"
+
+
+@core.query(f"""
+WITH t AS (SELECT record_id, list_transform(regexp_extract_all(lower(coalesce(body, '')), '([a-z]+|[ऀ-ॿ]+)', 1), lambda x: regexp_replace(x, '[।॥]+$', '')) AS w FROM article_records)
+SELECT record_id, {_profile_sql('en')}::BIGINT AS en, {_profile_sql('hi')}::BIGINT AS hi FROM t""")
+def function_word_hits(spark: SparkSession, folder: str) -> DataFrame:
+    by = languages.hits(F.col("body"))
+    return table(spark, folder, "article_records").select("record_id", *[n.cast("bigint").alias(code) for code, n in by.items()])
+
+
+@core.query()
+def detected_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of each body by function words."""
+    return table(spark, folder, "article_records").select("record_id", languages.detect(F.col("body")).alias("d")).select("record_id", "d.language", "d.confidence")
+
+
+@core.query("""
+WITH t AS (SELECT record_id, regexp_extract_all(lower(coalesce(title, '')), '([a-z]+|[ऀ-ॿ]+)', 1) AS w FROM article_records),
+c AS (SELECT record_id, term, count(*) AS tf FROM (SELECT record_id, unnest(w) AS term FROM t) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+r AS (SELECT record_id, term, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM article_records)) / (1 + df))) AS w FROM c JOIN d USING (term)), n AS (SELECT record_id, sqrt(sum(w * w)) AS l FROM r GROUP BY 1)
+SELECT record_id, term, round(w / l, 6) AS weight FROM r JOIN n USING (record_id)""")
+def title_tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "article_records")
+    return models.tfidf(rows, "record_id", text.tokens(F.col("title"))).withColumn("weight", F.round("weight", 6))
+
+
+@core.query()
+def title_bridges(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities whose Hindi names, transliterated, are close to the words of their own Latin names."""
+    rows = table(spark, folder, "knowledge_entities").select("entity_no", F.array_join("hindi_names", " ").alias("h"), F.concat_ws(" ", "canonical_name", F.array_join("romanisations", " ")).alias("l"))
+    return rows.select("entity_no", languages.bridge_words(languages.hindi_nouns(F.col("h")), text.latin_nouns(F.col("l"))).alias("shared"))
+
+
+@core.query("""
+SELECT record_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(lower(coalesce(title, '')), '([0-9][0-9,]*)\\s+(?:killed|dead|deaths|died)([^\\p{L}\\p{N}_]|$)', 1), lambda x: replace(x, ',', '')::BIGINT)), 0) AS BIGINT) AS toll
+FROM article_records""")
+def title_death_toll(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "article_records").select("record_id", languages.death_toll(F.col("title")).alias("toll"))
+
+
+@core.query("""
+SELECT fetch_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
+length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '\\s+', '', 'g')) AS visible
+FROM fetch_results WHERE html IS NOT NULL""")
+def page_titles(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("html")
+    return table(spark, folder, "fetch_results").where("html IS NOT NULL").select("fetch_id", extract.title_tag(c).alias("title"), extract.visible_length(c).cast("bigint").alias("visible"))
+
+
+@core.query()
+def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of each kept document's page and how far it can be trusted."""
+    held = extract.metadata(table(spark, folder, "temp_documents").where("raw_html IS NOT NULL").select("temp_id", "raw_html", "body"), "raw_html")
+    m = lambda n: F.col(f"meta.{n}")
+    trust = extract.confidence(m("title"), m("title_from_tag"), m("published"), m("description"), F.col("body"), m("titles"), m("canonical"), m("visible"))
+    return held.select("temp_id", m("title").alias("title"), m("published").alias("published"), m("author").alias("author"), trust.alias("confidence"))
+
+
+@core.query()
+def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities that each article names in its title or body."""
+    names = table(spark, folder, "knowledge_entities")
+    names = names.select(F.col("entity_no").alias("entity"), F.explode(F.array_union(F.array_union(F.array("canonical_name"), "aliases"), F.array_union("hindi_names", "romanisations"))).alias("name"))
+    texts = table(spark, folder, "article_records").select("record_id", F.concat_ws("\n", "title", "body").alias("t"))
+    return lexicon.mentions(texts, names, "record_id", "t")

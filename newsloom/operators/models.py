@@ -39,7 +39,7 @@ def char_grams(c: Column, low: int = 3, high: int = 5) -> Column:
 
 def pipeline(text: str, label: str, kind: str = "logistic", features: int = 1 << 16) -> Pipeline:
     """Words and pairs of words, hashed and weighted, under a linear model: logistic or svc (one against the rest)."""
-    model = LogisticRegression(labelCol="y", maxIter=50, regParam=0.01) if kind == "logistic" else OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.01), labelCol="y")
+    model = LogisticRegression(labelCol="y", maxIter=25, regParam=0.01) if kind == "logistic" else OneVsRest(classifier=LinearSVC(maxIter=25, regParam=0.01), labelCol="y")
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"[^\p{L}\p{M}\p{N}]+"), NGram(n=2, inputCol="w1", outputCol="w2"),
         HashingTF(inputCol="w1", outputCol="t1", numFeatures=features), HashingTF(inputCol="w2", outputCol="t2", numFeatures=features),
@@ -48,13 +48,13 @@ def pipeline(text: str, label: str, kind: str = "logistic", features: int = 1 <<
     ])
 
 
-def cross_validate(df: DataFrame, key: str, text: str, label: str, folds: int = 5, kind: str = "logistic") -> DataFrame:
+def cross_validate(df: DataFrame, key: str, text: str, label: str, folds: int = 5, kind: str = "logistic", features: int = 1 << 16) -> DataFrame:
     """fold, macro_f1 of each fold; a row's fold comes from a hash of its key."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(folds)))
     out = None
     for fold in range(folds):
-        fitted = pipeline("text", "label", kind).fit(rows.where(F.col("fold") != fold))
+        fitted = pipeline("text", "label", kind, features).fit(rows.where(F.col("fold") != fold))
         labels = F.array(*[F.lit(x) for x in fitted.stages[-2].labels])
         said = fitted.transform(rows.where(F.col("fold") == fold)).withColumn("said", F.get(labels, F.col("prediction").cast("int")))
         score = evaluate.macro_f1(said, "label", "said").select(F.lit(fold).alias("fold"), "macro_f1")

@@ -79,18 +79,21 @@ def _filler(line: str) -> bool:
     if _FILLER.match(line):
         return True
     words = line.split()
+    if len(words) >= 4 and len(set(words)) <= min(10, 0.25 * len(words)):
+        return True
     if len(words) < 8:
         return False
-    if len(set(words)) <= min(10, 0.25 * len(words)):
-        return True
     if not any(w.strip(".,").lower() in _LOREM for w in words[:3]):  # a filler line has no other words
         return False
     words = _WORD.findall(line.lower())
     return sum(w in _LOREM for w in words) >= 0.6 * len(words)
 
 
+_CODE_FIRST = re.compile(r"^\d{3}[\s:.–-]+(?=\D)")
+
+
 def _message(line: str) -> bool:
-    return len(line) <= 240 and bool(_ERRORS.match(line))
+    return len(line) <= 240 and bool(_ERRORS.match(line) or _ERRORS.match(_CODE_FIRST.sub("", line, count=1)))
 
 
 _SUSPECT = re.compile(r"[{}<\[@%]|__|\bTK\b")

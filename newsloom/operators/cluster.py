@@ -59,3 +59,37 @@ def assign(pairs: DataFrame, key: str, story: str, score: str, threshold: float
     """The best story of each article, the lowest of several equal ones, if its score reaches the threshold."""
     best = pairs.where(F.col(score) >= threshold).groupBy(key).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(story)).alias("t"))).alias("m"))
     return best.select(key, (-F.col("m.t")).alias(story), F.col("m.s").alias(score))
+
+
+def candidates(articles: DataFrame, hours: int = 72, crowded: int = 1000) -> DataFrame:
+    """id_a, id_b: articles that share a place or an entity and lie at most `hours` apart.
+
+    articles: id, at (seconds), districts, entities. Times are put in bins, so a place in the news
+    for years meets only its neighbours in time. A key with more than `crowded` articles in a bin
+    is narrowed by the event, so that one event's flood of reports isn't paired with everything.
+    """
+    width = hours * 3600
+    keys = F.array_distinct(F.concat(F.coalesce("districts", F.array().cast("array<string>")), F.coalesce("entities", F.array().cast("array<string>"))))
+    rows = articles.where("at IS NOT NULL").select("id", "at", "event_type", F.explode(keys).alias("key")).withColumn("bin", F.floor(F.col("at") / width))
+    sizes = rows.groupBy("key", "bin").agg(F.count("*").alias("n"))
+    rows = rows.join(sizes, ["key", "bin"]).withColumn("key", F.when(F.col("n") > crowded, F.concat_ws("\u0001", "key", F.coalesce("event_type", F.lit("")))).otherwise(F.col("key")))
+    a = rows.select("key", "bin", F.col("id").alias("id_a"), F.col("at").alias("at_a"))
+    b = rows.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("id").alias("id_b"), F.col("at").alias("at_b"))
+    near = a.join(b, ["key", "bin"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= width))
+    return near.select("id_a", "id_b").distinct()
+
+
+def stories(articles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """id, story (the lowest id of its group) of each article; an article like no other is a story of its own.
+
+    articles: id, at, headline, body, entities, districts, event_type, category.
+    """
+    held = articles.select("id", F.struct(
+        F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), "event_type", text.tokens(F.col("headline")).alias("terms"),
+        F.coalesce("districts", F.array().cast("array<string>")).alias("districts"), "category", "at", text.numbers(F.concat_ws(" ", "headline", "body")).alias("numbers"),
+    ).alias("s"))
+    pairs = candidates(articles)
+    scored = pairs.join(held.withColumnsRenamed({"id": "id_a", "s": "a"}), "id_a").join(held.withColumnsRenamed({"id": "id_b", "s": "b"}), "id_b")
+    edges = scored.where(pair_score() >= threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    groups = components(edges)
+    return articles.select("id").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("story"))

@@ -67,3 +67,45 @@ def mode_value(df: DataFrame, key: str, value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
     most = counts.groupBy(key).agg(F.max("n").alias("n"))
     return counts.join(most, [key, "n"]).groupBy(key).agg(F.min(value).alias(value))
+
+
+def as_of(rows: DataFrame, keys: list[str], time: str, width: int = 7 * 86_400_000_000) -> DataFrame:
+    """keys, time, id, of: for each row of side 1 the row of side 0 with equal keys that is last at or before its time.
+
+    One pass over both sides in order of time instead of a join. Windows run within a key and a bin
+    of `width`, so no key is sorted whole in one task; what a bin's first rows need from before is
+    the last row of the bins before it, carried over a table of one row a bin. Rows of side 1
+    without an earlier row of side 0 are left out; of several at one time the highest id is last.
+    """
+    held = rows.withColumn("bin", F.floor(F.col(time) / width))
+    inside = Window.partitionBy(*keys, "bin").orderBy(time, "side", "id")
+    own = F.last(F.when(F.col("side") == 0, F.struct(time, "id")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ends = held.groupBy(*keys, "bin").agg(F.max(F.when(F.col("side") == 0, F.struct(time, "id"))).alias("end"))
+    over = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "bin", F.last("end", ignorenulls=True).over(over).alias("before"))
+    found = held.withColumn("own", own).where("side = 1").join(ends, [*keys, "bin"])
+    return found.select(*keys, time, "id", F.coalesce("own.id", "before.id").alias("of")).where("of IS NOT NULL")
+
+
+def numbered(df: DataFrame, keys: list[str], at: str, tie: str, width: int) -> DataFrame:
+    """position (from 1) of each row of a key in order of the number `at`, then `tie`; at may not be null.
+
+    Rows are numbered within a key and a bin of `width`; the rows of the bins before are added from
+    a table of one row a bin, so no key is sorted whole in one task.
+    """
+    held = df.withColumn("__nl_bin", F.floor(F.col(at) / width))
+    bins = held.groupBy(*keys, "__nl_bin").agg(F.count("*").alias("__nl_n"))
+    before = F.sum("__nl_n").over(Window.partitionBy(*keys).orderBy("__nl_bin")) - F.col("__nl_n")
+    bins = bins.select(*keys, "__nl_bin", before.alias("__nl_before"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "__nl_bin").orderBy(at, tie))
+    return held.withColumn("__nl_rank", rank).join(bins, [*keys, "__nl_bin"]).withColumn("position", F.col("__nl_before") + F.col("__nl_rank")).drop("__nl_bin", "__nl_rank", "__nl_before")
+
+
+def gaps(df: DataFrame, keys: list[str], at: str, tie: str, width: int) -> DataFrame:
+    """gap of each row of a key to the row before it in order of `at`, null for the first; in bins as numbered()."""
+    held = df.withColumn("__nl_bin", F.floor(F.col(at) / width))
+    ends = held.groupBy(*keys, "__nl_bin").agg(F.max(at).alias("__nl_end"))
+    ends = ends.select(*keys, "__nl_bin", F.lag("__nl_end").over(Window.partitionBy(*keys).orderBy("__nl_bin")).alias("__nl_before"))
+    own = F.lag(at).over(Window.partitionBy(*keys, "__nl_bin").orderBy(at, tie))
+    held = held.withColumn("__nl_own", own).join(ends, [*keys, "__nl_bin"])
+    return held.withColumn("gap", F.col(at) - F.coalesce("__nl_own", "__nl_before")).drop("__nl_bin", "__nl_own", "__nl_before")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import codes, text
-from newsloom.operators import cluster, health, serve, windows
+from newsloom.operators import cluster, health, serve, titles, windows
 from newsloom.plans.registry import core
 from newsloom.sources import table
 
@@ -223,3 +223,108 @@ coalesce((upper(title) = title AND lower(title) <> title AND length(title) > 15)
 FROM article_records""")
 def title_features(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "article_records").select("record_id", text.conciseness(F.col("title")).alias("conciseness"), text.clickbait(F.col("title")).alias("clickbait"), text.description(F.col("description")).alias("description"))
+
+
+_POINTS = """CASE WHEN length(title) BETWEEN 40 AND 110 THEN 15 WHEN length(title) BETWEEN 25 AND 39 OR length(title) BETWEEN 111 AND 140 THEN 8 ELSE 0 END
++ CASE WHEN len(list_distinct(regexp_extract_all(lower(title), '([a-z]+|[ऀ-ॿ]+)', 1))) >= 5 THEN 10 ELSE 0 END
+- CASE WHEN (upper(title) = title AND lower(title) <> title AND length(title) > 15) OR length(title) - length(regexp_replace(title, '[!?]', '', 'g')) >= 3 THEN 25 ELSE 0 END
++ CASE extraction_confidence WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 0 END + CASE priority WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 0 END"""
+
+
+@core.query(f"""
+WITH m AS (SELECT a.story_id::BIGINT AS story_id, trim(title) AS headline, ({_POINTS})::BIGINT AS score, fetched_at FROM article_records a JOIN sources s USING (source_id) WHERE story_id IS NOT NULL AND trim(title) <> '')
+SELECT story_id, headline, score FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY score DESC, fetched_at, headline) AS r FROM m) WHERE r = 1""")
+def story_titles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "article_records").where("story_id IS NOT NULL").join(table(spark, folder, "sources").select("source_id", "priority"), "source_id")
+    rows = rows.withColumn("story_id", F.col("story_id").cast("bigint"))
+    score = titles.points(F.col("title"), F.col("extraction_confidence"), F.col("priority"))
+    won = titles.best(rows, "story_id", "title", score, "fetched_at")
+    return won.withColumn("score", F.col("score").cast("bigint"))
+
+
+@core.query()
+def grouped_stories(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles grouped anew by place, time, headline and numbers."""
+    facts = table(spark, folder, "stories").select("story_id", "district_names", "event_type", "primary_category")
+    rows = table(spark, folder, "article_records").withColumn("story_id", F.col("story_id").cast("bigint")).join(facts, "story_id", "left")
+    rows = rows.select(
+        F.col("record_id").alias("id"), F.floor(F.unix_micros("fetched_at") / 1_000_000).alias("at"), F.col("title").alias("headline"), "body",
+        F.lit(None).cast("array<string>").alias("entities"), F.col("district_names").alias("districts"), "event_type", F.col("primary_category").alias("category"),
+    )
+    return cluster.stories(rows)
+
+
+@core.query("""
+SELECT s.story_id, a.record_id, c.name AS source, coalesce(a.title, '') AS headline, row_number() OVER (PARTITION BY s.story_id ORDER BY epoch_us(a.fetched_at), a.record_id) AS position
+FROM stories s JOIN article_records a ON a.story_id = s.story_id JOIN sources c ON c.source_id = a.source_id""")
+def story_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports of each story in order of time."""
+    rows = table(spark, folder, "article_records").where("story_id IS NOT NULL").withColumn("story_id", F.col("story_id").cast("bigint"))
+    rows = rows.join(table(spark, folder, "stories").select("story_id"), "story_id").join(table(spark, folder, "sources").select("source_id", F.col("name").alias("source")), "source_id")
+    rows = rows.select("story_id", "record_id", "source", F.coalesce("title", F.lit("")).alias("headline"), F.unix_micros("fetched_at").alias("at"))
+    return windows.numbered(rows, ["story_id"], "at", "record_id", 86_400_000_000).select("story_id", "record_id", "source", "headline", F.col("position").cast("bigint").alias("position"))
+
+
+@core.query("""
+SELECT status, count(*) AS n, count(DISTINCT source_id) AS sources, sum(processing_attempts)::BIGINT AS attempts FROM crawl_queue GROUP BY status""")
+def queue_by_status(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "crawl_queue").groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"), F.sum("processing_attempts").alias("attempts"))
+
+
+@core.query("""
+SELECT source_id, count(DISTINCT queue_id) AS n FROM crawl_queue q WHERE EXISTS (SELECT 1 FROM fetch_results f WHERE f.queue_id = q.queue_id) AND NOT EXISTS (SELECT 1 FROM article_records a WHERE a.queue_id = q.queue_id) GROUP BY 1""")
+def fetched_without_article(spark: SparkSession, folder: str) -> DataFrame:
+    queue = table(spark, folder, "crawl_queue").select("queue_id", "source_id")
+    held = queue.join(table(spark, folder, "fetch_results").select("queue_id"), "queue_id", "left_semi").join(table(spark, folder, "article_records").select("queue_id"), "queue_id", "left_anti")
+    return held.groupBy("source_id").agg(F.count_distinct("queue_id").alias("n"))
+
+
+@core.query("""
+(SELECT source_id FROM crawl_queue INTERSECT SELECT source_id FROM article_records) EXCEPT SELECT source_id FROM sources WHERE NOT active""")
+def active_sources_with_articles(spark: SparkSession, folder: str) -> DataFrame:
+    ids = lambda name: table(spark, folder, name).select("source_id")
+    return ids("crawl_queue").intersect(ids("article_records")).subtract(table(spark, folder, "sources").where("NOT active").select("source_id"))
+
+
+@core.query("""
+SELECT canonical_name, min(knowledge_id) AS knowledge_id, count(*) AS facets, count(DISTINCT entity_type) AS types FROM knowledge_entities GROUP BY 1""")
+def entity_facets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "knowledge_entities").groupBy("canonical_name").agg(F.min("knowledge_id").alias("knowledge_id"), F.count("*").alias("facets"), F.count_distinct("entity_type").alias("types"))
+
+
+@core.query("""
+WITH p AS (SELECT e.entity_no, e.parent_entity, p.canonical_name FROM knowledge_entities e LEFT JOIN (SELECT knowledge_id, min(canonical_name) AS canonical_name FROM knowledge_entities GROUP BY 1) p ON p.knowledge_id = e.parent_entity)
+SELECT entity_no::BIGINT AS entity_no, parent_entity, canonical_name AS parent FROM p""")
+def entity_parents(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "knowledge_entities")
+    names = rows.groupBy(F.col("knowledge_id").alias("parent_entity")).agg(F.min("canonical_name").alias("parent"))
+    return rows.select(F.col("entity_no").cast("bigint").alias("entity_no"), "parent_entity").join(names, "parent_entity", "left")
+
+
+@core.query("""
+SELECT priority, percentile_disc(0.5) WITHIN GROUP (ORDER BY processing_attempts)::BIGINT AS median, max(processing_attempts)::BIGINT AS most, grouping(priority)::BIGINT AS whole FROM crawl_queue GROUP BY ROLLUP (priority)""")
+def attempts_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "crawl_queue").rollup("priority").agg(
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY processing_attempts)").cast("bigint").alias("median"), F.max("processing_attempts").cast("bigint").alias("most"), F.grouping("priority").cast("bigint").alias("whole")
+    )
+
+
+@core.query("""
+WITH f AS (SELECT source_id, epoch_us(fetched_at) AS t, record_id FROM article_records), g AS (SELECT *, t - lag(t) OVER (PARTITION BY source_id ORDER BY t, record_id) AS gap FROM f)
+SELECT source_id, count(*) AS n, count(*) FILTER (WHERE gap IS NULL OR gap > 6 * 3600000000) AS sessions FROM g GROUP BY 1""")
+def publishing_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of articles of a source with at most six hours between neighbours."""
+    rows = table(spark, folder, "article_records").select("source_id", "record_id", F.unix_micros("fetched_at").alias("t"))
+    rows = windows.gaps(rows, ["source_id"], "t", "record_id", 7 * 86_400_000_000)
+    return rows.groupBy("source_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("gap").isNull() | (F.col("gap") > 6 * 3_600_000_000), 1)).alias("sessions"))
+
+
+@core.query("""
+WITH k AS (SELECT source_id, epoch_us(accepted_at) AS t, known_id FROM known_articles), a AS (SELECT source_id, epoch_us(fetched_at) AS t, record_id FROM article_records),
+j AS (SELECT a.record_id, max(struct_pack(t := k.t, id := k.known_id)) AS m FROM a JOIN k ON k.source_id = a.source_id AND k.t <= a.t GROUP BY 1)
+SELECT record_id, m.id AS known_id FROM j""")
+def last_known_before(spark: SparkSession, folder: str) -> DataFrame:
+    """As-of join: the article of a source that was accepted last before each record's fetch."""
+    known = table(spark, folder, "known_articles").select("source_id", F.unix_micros("accepted_at").alias("t"), F.lit(0).alias("side"), F.col("known_id").alias("id"))
+    new = table(spark, folder, "article_records").select("source_id", F.unix_micros("fetched_at").alias("t"), F.lit(1).alias("side"), F.col("record_id").alias("id"))
+    return windows.as_of(known.unionByName(new), ["source_id"], "t").select(F.col("id").alias("record_id"), F.col("of").alias("known_id"))

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from newsloom.functions import codes, hashing, text, urls
-from newsloom.operators import cluster, dedup, evaluate, health, lexicon, serve, windows
+from newsloom.operators import cluster, dedup, evaluate, health, lexicon, serve, titles, windows
 
 
 def rows(df):
@@ -164,3 +164,46 @@ def test_serve(spark):
     assert serve.search(stories, members, ["metro"], year=2025).count() == 0
     m = health.assess(spark.createDataFrame([("a", 10, 2, 6, 0), ("b", 10, 1, 0, 0), ("c", 10, 7, 0, 0), ("d", 10, 10, 0, 0), ("e", 0, 0, 0, 0)], "s string, attempted int, succeeded int, blocked int, limited int"))
     assert [r.state for r in m.orderBy("s").collect()] == ["BLOCKED", "BROKEN", "DEGRADED", "HEALTHY", "STALE"]
+
+
+def test_windows_in_bins(spark):
+    """Against one sort of each key."""
+    random.seed(11)
+    data = [(random.choice("ab"), random.randrange(0, 300), random.randrange(2), i) for i in range(120)]
+    df = spark.createDataFrame(data, "k string, t bigint, side int, id bigint")
+    want, numbers, steps = [], [], []
+    for key in "ab":
+        last, before = None, None
+        for n, (k, t, side, i) in enumerate(sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2], r[3]))):
+            if side == 0:
+                last = i
+            elif last is not None:
+                want.append((i, last))
+        for n, (k, t, side, i) in enumerate(sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[3]))):
+            numbers.append((i, n + 1))
+            steps.append((i, None if before is None else t - before))
+            before = t
+    assert rows(windows.as_of(df, ["k"], "t", 25).select("id", "of")) == sorted(want, key=repr)
+    assert rows(windows.numbered(df, ["k"], "t", "id", 25).select("id", "position")) == sorted(numbers, key=repr)
+    assert rows(windows.gaps(df, ["k"], "t", "id", 25).select("id", "gap")) == sorted(steps, key=repr)
+
+
+def test_titles(spark):
+    df = spark.createDataFrame([(1, "Metro line to Patna opens after nine years of work", "high", "high", 2, ["Patna"]), (1, "SHOCKING!!! YOU MUST SEE THIS", "high", "low", 1, ["Patna", "X"]), (1, " ", None, None, 0, None), (2, None, None, None, 0, [])], "s int, h string, c string, p string, t int, e array<string>")
+    top = titles.top_entities(df, "s", "e")
+    assert rows(top.select("s", F.array_join("top", ","))) == [(1, "patna,x")]
+    won = titles.best(df.join(top, "s", "left"), "s", "h", titles.points(F.col("h"), F.col("c"), F.col("p"), F.col("top"), ["opens"]), "t")
+    assert rows(won) == [(1, "Metro line to Patna opens after nine years of work", 70)]
+
+
+def test_stories(spark):
+    day = 86_400
+    data = [
+        (1, 0, "Bridge at Patna collapses, 12 hurt", None, ["bridge-1"], ["Patna"], "collapse", "infra"), (2, day, "12 hurt as bridge collapses at Patna", None, ["bridge-1"], ["Patna"], "collapse", "infra"),
+        (3, 30 * day, "Bridge at Patna collapses, 12 hurt", None, ["bridge-1"], ["Patna"], "collapse", "infra"), (4, 0, "Cricket final", None, [], ["Gaya"], None, None), (5, None, "Undated", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(data, "id bigint, at bigint, headline string, body string, entities array<string>, districts array<string>, event_type string, category string")
+    assert rows(cluster.stories(df)) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
+    assert rows(cluster.candidates(df, crowded=1)) == [(1, 2)]
+    best = cluster.assign(spark.createDataFrame([(1, 7, 0.7), (1, 5, 0.7), (1, 9, 0.65), (2, 5, 0.5)], "a int, s int, x double"), "a", "s", "x")
+    assert rows(best) == [(1, 5, 0.7)]

@@ -7,6 +7,7 @@ The parameters of the minimum hash come from a linear congruential generator ove
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,12 +28,34 @@ def parameters(count: int = 128, seed: int = 42) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=4)
+def _arrays(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = zip(*parameters(count, seed))
+    return np.array(a, np.uint64)[:, None], np.array(b, np.uint64)[:, None]
+
+
+@lru_cache(maxsize=200_000)
+def item_hash(item: str) -> int:
+    return int.from_bytes(hashlib.sha256(item.encode()).digest()) % PRIME
+
+
+def _multiply_add(a: np.ndarray, h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(a * h + b) modulo 2**61 - 1 in 64 bits: factors are split at 31 bits, and 2**61 is 1."""
+    low, half, prime = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(PRIME)
+    a1, a0, h1, h0 = a >> half, a & low, h >> half, h & low
+    middle = a1 * h0 + a0 * h1
+    x = np.uint64(2) * (a1 * h1) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * h0 + b
+    x = (x & prime) + (x >> np.uint64(61))
+    return np.where(x >= prime, x - prime, x)
+
+
 def signature(items: list[str], count: int = 128, seed: int = 42) -> list[int]:
     """Minimum of (a * h + b) modulo PRIME for each pair of parameters; all PRIME for no items."""
-    hashes = [int.from_bytes(hashlib.sha256(x.encode()).digest()) % PRIME for x in set(items)]
-    if not hashes:
+    if not items:
         return [PRIME] * count
-    return [min((a * h + b) % PRIME for h in hashes) for a, b in parameters(count, seed)]
+    a, b = _arrays(count, seed)
+    hashes = np.array([item_hash(x) for x in set(items)], np.uint64)[None]
+    return _multiply_add(a, hashes, b).min(axis=1).astype(np.int64).tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

@@ -125,6 +125,13 @@ def test_sketches(spark):
     assert abs(share[0] - 7 / 9) < 0.15 and 0 < share[1] < 40
 
 
+def test_signature_in_whole_numbers():
+    """The arithmetic in 64 bits against that of unbounded whole numbers."""
+    for items in (["a"], [str(i) for i in range(300)], ["खबर", "x" * 1000]):
+        hashes = [hashing.item_hash(x) for x in items]
+        assert hashing.signature(items) == [min((a * h + b) % hashing.PRIME for h in hashes) for a, b in hashing.parameters()]
+
+
 def test_pair_score(spark):
     kind = "struct<entities: array<string>, event_type: string, terms: array<string>, districts: array<string>, category: string, at: bigint, numbers: array<string>>"
     full = (["e"], "flood", ["river", "rises"], ["d"], "weather", 0, ["12"])

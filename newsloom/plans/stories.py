@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import codes, text
-from newsloom.operators import cluster, health, serve, titles, windows
+from newsloom.operators import cluster, discovery, health, retention, serve, titles, windows
 from newsloom.plans.registry import core
 from newsloom.sources import table
 
@@ -328,3 +328,39 @@ def last_known_before(spark: SparkSession, folder: str) -> DataFrame:
     known = table(spark, folder, "known_articles").select("source_id", F.unix_micros("accepted_at").alias("t"), F.lit(0).alias("side"), F.col("known_id").alias("id"))
     new = table(spark, folder, "article_records").select("source_id", F.unix_micros("fetched_at").alias("t"), F.lit(1).alias("side"), F.col("record_id").alias("id"))
     return windows.as_of(known.unionByName(new), ["source_id"], "t").select(F.col("id").alias("record_id"), F.col("of").alias("known_id"))
+
+
+_ENTRIES = """WITH e AS (SELECT source_id, url, max(epoch_us(created_at)) AS t FROM crawl_queue GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY t DESC, url) AS position FROM e),
+c AS (SELECT source_id, max(epoch_us(fetched_at)) - 30 * 86400000000 AS seen_at FROM article_records GROUP BY 1),
+s AS (SELECT p.source_id, min(position) AS stop FROM p JOIN c USING (source_id) WHERE t <= seen_at GROUP BY 1)"""
+
+
+@core.query(f"""
+{_ENTRIES} SELECT source_id, count(*) AS new, count(*) FILTER (WHERE n <= 20) AS kept FROM (SELECT p.*, row_number() OVER (PARTITION BY p.source_id ORDER BY position) AS n FROM p LEFT JOIN s USING (source_id)
+WHERE stop IS NULL OR position < stop) GROUP BY 1""")
+def new_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of each source that were discovered since 30 days before its last article, and how many a poll of 20 keeps."""
+    entries = table(spark, folder, "crawl_queue").groupBy("source_id", "url").agg(F.max(F.unix_micros("created_at")).alias("at"))
+    entries = windows.numbered(entries.withColumn("back", -F.col("at")), ["source_id"], "back", "url", 7 * 86_400_000_000)
+    month = 30 * 86_400_000_000
+    cursors = table(spark, folder, "article_records").groupBy("source_id").agg((F.max(F.unix_micros("fetched_at")) - month).alias("seen_at")).withColumn("seen_url", F.lit(None).cast("string"))
+    walked = discovery.walk(entries.select("source_id", "position", "url", "at"), cursors, "source_id", 20)
+    return walked.groupBy("source_id").agg(F.count("*").alias("new"), F.count(F.when(F.col("kept"), 1)).alias("kept"))
+
+
+@core.query("""
+SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'fetching' AND epoch_us(TIMESTAMPTZ '2026-06-15 12:00:00+00') - epoch_us(updated_at) > 600 * 1000000 THEN 'retry' ELSE status END AS status FROM crawl_queue) GROUP BY 1""")
+def released_queue(spark: SparkSession, folder: str) -> DataFrame:
+    return retention.release(table(spark, folder, "crawl_queue"), F.lit(NOW).cast("timestamp"), "fetching", "retry", 600).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@core.query("""
+SELECT temp_id FROM temp_documents WHERE expires_at IS NULL OR expires_at > TIMESTAMPTZ '2026-06-15 12:00:00+00'""")
+def kept_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return retention.purge(table(spark, folder, "temp_documents"), F.lit(NOW).cast("timestamp")).select("temp_id")
+
+
+@core.query("""
+SELECT record_id, source_id, extraction_method FROM article_records WHERE extraction_confidence = 'low' OR extraction_confidence IS NULL""")
+def weak_extractions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "article_records").where("extraction_confidence = 'low' OR extraction_confidence IS NULL").select("record_id", "source_id", "extraction_method")

@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from newsloom.functions import codes, hashing, text, urls
-from newsloom.operators import cluster, dedup, evaluate, health, lexicon, serve, titles, windows
+from newsloom.operators import cluster, dedup, discovery, evaluate, health, lexicon, retention, serve, titles, windows
+from newsloom.sources import documents
 
 
 def rows(df):
@@ -214,3 +215,29 @@ def test_stories(spark):
     assert rows(cluster.candidates(df, crowded=1)) == [(1, 2)]
     best = cluster.assign(spark.createDataFrame([(1, 7, 0.7), (1, 5, 0.7), (1, 9, 0.65), (2, 5, 0.5)], "a int, s int, x double"), "a", "s", "x")
     assert rows(best) == [(1, 5, 0.7)]
+
+
+def test_walk_and_advance(spark):
+    entries = spark.createDataFrame([("a", 1, "u1", 90), ("a", 2, "u2", None), ("a", 3, "u3", 70), ("a", 4, "u4", 50), ("b", 1, "v1", 9), ("b", 2, "seen", 8), ("c", 1, "w", 1)], "k string, position int, url string, at bigint")
+    cursors = spark.createDataFrame([("a", "x", 60), ("b", "seen", None), ("d", "old", 5)], "k string, seen_url string, seen_at bigint")
+    walked = discovery.walk(entries, cursors, "k", 2)
+    assert rows(walked.select("k", "url", "kept")) == [("a", "u1", True), ("a", "u2", True), ("a", "u3", False), ("b", "v1", True), ("c", "w", True)]
+    assert rows(discovery.advance(walked, cursors, "k")) == [("a", "u2", 60), ("b", "v1", 9), ("c", "w", 1), ("d", "old", 5)]
+    one = spark.range(1)
+    assert one.select(discovery.included(F.lit("https://a/x"), F.lit("Metro"), F.lit("(?i)metro"))).first()[0]
+    assert not one.select(discovery.included(F.lit("https://a/x"), F.lit(None), F.lit("metro"))).first()[0]
+    assert one.select(documents.summary_page(F.lit("A & B"), F.lit("x" * 60)).alias("p")).first().p.startswith("<html><head><title>A &amp; B</title>")
+    assert one.select(documents.summary_page(F.lit("A"), F.lit("short")).alias("p")).first().p is None
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 broken")
+    (tmp_path / "b.pdf").write_bytes(b"no pdf")
+    files = documents.bounded(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert files.count() == 1 and files.select(documents.pdf_text("content")).first()[0] is None
+
+
+def test_retention(spark):
+    now = F.lit("2026-01-10 00:00:00").cast("timestamp")
+    df = spark.createDataFrame([(1, "2026-01-09 00:00:00", None), (2, None, None), (3, None, "debugging"), (4, "2026-01-11 00:00:00", None)], "id int, e string, keep_reason string").select("id", F.col("e").cast("timestamp").alias("expires_at"), "keep_reason")
+    assert rows(retention.purge(retention.with_expiry(df, now), now).select("id")) == [(2,), (3,), (4,)]

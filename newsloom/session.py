@@ -4,6 +4,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +27,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+#: A side of a join of at most so many short rows is broadcast; a larger one is shuffled.
+BROADCAST = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df for the smaller side of a join: written and counted first, and broadcast only if the count allows that."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def local(cores: str = "8", partitions: int = 8) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     spark = (

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import html
-from newsloom.session import cut
+from newsloom.session import cut, small
 
 #: A line recurs from so many records, and from such a share of its source's records.
 LINE_RECORDS, LINE_SHARE = 4, 0.1
@@ -100,7 +100,7 @@ def repeated_lines(df: DataFrame, key: str, source: str, text: str, records: int
     rows = df.where(F.col(source).isNotNull() & F.col(key).isNotNull())
     lines = cut(_lines(rows, key, source, text))
     total = rows.groupBy(F.col(source).alias("s")).agg(F.greatest(F.lit(records), F.ceil(F.count_distinct(F.col(key)) * share - 1e-9)).alias("least"))
-    total = F.broadcast(total)  # a row a source
+    total = small(total)
     chunks = lines.select("k", "s", F.explode(F.array_distinct("chunks")).alias("c"))
     often = chunks.groupBy("s", "c").agg(F.count_distinct("k").alias("r")).where(F.col("r") >= records)
     often = often.join(total, "s").where("r >= least").select("s", "c")
@@ -182,11 +182,11 @@ def main_paragraphs(pages: DataFrame) -> DataFrame:
             yield new
 
     found = cut(rows.mapInPandas(scan, "src string, row_id bigint, host string, page bigint, markup boolean, key string, tree string, inside boolean"))
-    sizes = found.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    sizes = small(found.groupBy("host").agg(F.count_distinct("page").alias("pages")))
     page = lambda where: F.count_distinct(F.when(where, F.col("page")))
     shown, inside = F.col("markup"), F.col("inside")  # where a line of extracted text stood isn't known
     site = found.groupBy("host", "key").agg(F.count_distinct("page").alias("on")).where(F.col("on") >= PAGES)
-    site = site.join(F.broadcast(sizes), "host").where(F.col("on") >= PAGE_SHARE * F.col("pages")).select("host", "key")
+    site = site.join(sizes, "host").where(F.col("on") >= PAGE_SHARE * F.col("pages")).select("host", "key")
     counted = found.where(shown).groupBy("host", "tree").agg(page(inside).alias("within"), page(~inside).alias("without"))
     anywhere = counted.groupBy("tree").agg(F.sum("within").alias("within"), F.sum("without").alias("without"))
     anywhere = anywhere.where((F.col("without") >= OUTSIDE) & (F.col("without") >= OUTSIDE_TIMES * F.col("within"))).select("tree")

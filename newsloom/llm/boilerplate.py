@@ -178,7 +178,7 @@ def main_paragraphs(pages: DataFrame) -> DataFrame:
                     for name, x in zip(out, (i, *block)):
                         out[name].append(x)
             new = batch[["src", "row_id", "host", "page", "markup"]].iloc[out["at"]].reset_index(drop=True)
-            new["key"], new["tree"], new["inside"] = out["key"], out["tree"], np.array(out["inside"], bool)
+            new["key"], new["tree"], new["inside"] = pd.Series(out["key"], dtype=object), pd.Series(out["tree"], dtype=object), np.array(out["inside"], bool)
             yield new
 
     found = cut(rows.mapInPandas(scan, "src string, row_id bigint, host string, page bigint, markup boolean, key string, tree string, inside boolean"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,23 +65,30 @@ def _with_longer(texts: DataFrame) -> DataFrame:
     """
     schema = "body string, next string, pid int, edge boolean"
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pid, before, first = TaskContext.get().partitionId(), None, None
+
+        def out(found: list[tuple[str, str]], edge: bool) -> pa.RecordBatch:
+            n = len(found)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([pid] * n, pa.int32()), pa.array([edge] * n, pa.bool_())], ["body", "next", "pid", "edge"]
+            )
+
         for batch in batches:
             found = []
-            for body in batch["body"]:
+            for body in batch.column(0).to_pylist():
                 if first is None:
                     first = body
                 elif before != body and body.startswith(before):
                     found.append((before, body[len(before)]))
                 before = body
-            yield pd.DataFrame({"body": [b for b, _ in found], "next": [n for _, n in found], "pid": pid, "edge": False}).astype({"pid": "int32", "edge": "bool"})
+            yield out(found, False)
         if first is not None:
-            yield pd.DataFrame({"body": [before], "next": [first], "pid": [pid], "edge": [True]}).astype({"pid": "int32"})
+            yield out([(before, first)], True)
 
-    scanned = cut(texts.repartitionByRange("body").sortWithinPartitions("body").mapInPandas(scan, schema))
+    scanned = cut(texts.repartitionByRange("body").sortWithinPartitions("body").mapInArrow(scan, schema))
     edges = scanned.where("edge").withColumn("first", F.lead("next").over(Window.orderBy("pid")))  # one row a partition
     over = edges.where(F.col("first").startswith(F.col("body")) & (F.col("first") != F.col("body")))
     over = over.select("body", F.expr("substring(first, length(body) + 1, 1)").alias("follows"))

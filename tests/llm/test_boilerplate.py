@@ -64,6 +64,8 @@ def test_main_paragraphs(spark):
     want |= {("pages", 90, k) for s, n, k in want if n == 0} | {("lines", 1, boilerplate.para_key("A line of running text is here."))}
     assert got == want
     assert boilerplate.main_paragraphs(df.limit(0)).count() == 0
+    bare = spark.createDataFrame([("pages", 1, "a.example", "u", "<div></div>", True, "x")], df.schema)
+    assert boilerplate.main_paragraphs(bare).count() == 0
 
 
 def test_blocks_of_broken_markup():

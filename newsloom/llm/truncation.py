@@ -19,6 +19,8 @@ from newsloom.session import cut
 
 #: Code points of the hashed prefix. Shorter texts are compared by hash on their own.
 PREFIX = 40
+#: Texts that share a prefix are sorted in one task up to this number; more are range-sorted over many.
+CROWDED = 10_000
 # How a cut is marked at the end of a text.
 MARKS = (
     r"(?:\s*(?:…|\.{2,}|\[(?:…|\.{3})\]|\[\s*\+\s*[0-9]+\s*char(?:acter)?s?\s*\]|\(?(?i:read more|continue reading|read full story|more)\)?\s*[»›>→]*|"
@@ -57,6 +59,13 @@ def end_marks(text: Column) -> Column:
     )
 
 
+def _next_longer(texts: DataFrame) -> DataFrame:
+    """The same as _with_longer within groups `h` of at most CROWDED texts: a text is a strict prefix of another exactly if the next one begins with it."""
+    after = F.lead("body").over(Window.partitionBy("h").orderBy("body"))
+    held = texts.select("h", "body", after.alias("after")).where(F.col("after").startswith(F.col("body")))
+    return held.select("body", F.expr("substring(after, length(body) + 1, 1)").alias("follows"))
+
+
 def _with_longer(texts: DataFrame) -> DataFrame:
     """`body` and `follows` (the character after it in the longer copy) of each distinct body that is a strict prefix of another one.
 
@@ -111,10 +120,15 @@ def truncated(df: DataFrame, text: str, key: str) -> DataFrame:
         F.col("t").rlike(r"[.!?।۔؟][\"'”’»)]*\s+\S").alias("before"),
     )
     seen = cut(seen.where("x.worded").select("k", "text", "x.*", "whole", "h", "before"))  # read once; the texts stay where they are
-    shared = seen.where("h IS NOT NULL").groupBy("h").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a != b").select("h")
-    rivals = seen.join(shared, "h", "left_semi").select("text").distinct()
-    rivals = rows.withColumn("text", F.xxhash64("t")).join(rivals, "text", "left_semi").select(bare.alias("body")).distinct()
-    longer = _with_longer(cut(rivals)).groupBy("body").agg(F.first("follows").alias("follows"))
+    shared = seen.where("h IS NOT NULL").groupBy("h").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count("*").alias("n")).where("a != b").select("h", "n")
+    rivals = seen.join(shared, "h").groupBy("text").agg(F.first("h").alias("h"), F.first("n").alias("n"))
+    rivals = rows.withColumn("text", F.xxhash64("t")).join(rivals, "text").select(bare.alias("body"), "h", "n").distinct()
+    rivals = cut(rivals)
+    longer = _next_longer(rivals.where(F.col("n") <= CROWDED))
+    crowd = rivals.where(F.col("n") > CROWDED).select("body")
+    if not crowd.isEmpty():
+        longer = longer.unionByName(_with_longer(crowd))
+    longer = longer.groupBy("body").agg(F.first("follows").alias("follows"))
     longer = longer.select(F.xxhash64("body").alias("whole"), "follows")
     held = seen.join(longer, "whole", "left")
     open_end = ~F.col("ended") & ~F.col("closing")

@@ -21,7 +21,7 @@ def test_marks_and_open_ends(spark):
     assert truncation.truncated(df.limit(0), "text", "doc_id").count() == 0
 
 
-def test_prefixes_against_all_pairs(spark):
+def test_prefixes_against_all_pairs(spark, monkeypatch):
     rng = random.Random(7)
     texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(41, 400))).strip() + "end" for _ in range(60)]
     texts += [rng.choice(texts)[: rng.randrange(41, 300)] for _ in range(120)] + ["z" * n for n in range(41, 120)]
@@ -32,3 +32,5 @@ def test_prefixes_against_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     by_copy = {texts[r.doc_id] for r in truncation.truncated(docs, "text", "doc_id").where("by_copy").collect()}
     assert by_copy == {t for t in want if len(t) >= truncation.PREFIX}
+    monkeypatch.setattr(truncation, "CROWDED", 1)  # all groups by range sort
+    assert {texts[r.doc_id] for r in truncation.truncated(docs, "text", "doc_id").where("by_copy").collect()} == by_copy

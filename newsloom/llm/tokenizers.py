@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import cut
+
 TIKTOKEN = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
 FILES = TIKTOKEN | {"piece_bpe_32k": "piece_bpe_32k.model", "word_bpe_49k": "word_bpe_49k.json"}
 FOLDER = "/opt/tokenizers"
@@ -147,10 +149,10 @@ def encode(df: DataFrame, text: str, keys: list[str], tokenizer: str = "byte_bpe
             at = end
         return pa.table([pa.array(table["key"].to_pylist()[:1], pa.binary()), pa.array([ids], pa.list_(pa.int32()))], ["key", "ids"])
 
-    hard = rows.where("long").withColumn("key", F.unhex(F.sha2("t", 256)))
+    hard = cut(rows.where("long").withColumn("key", F.unhex(F.sha2("t", 256))))  # read twice below
     distinct = hard.select("key", "t").dropDuplicates(["key"])
-    cut = distinct.mapInArrow(leaves, "key binary, piece int, leaf int, data binary").repartition("key", F.floor(F.col("leaf") / 1024))
-    whole = cut.mapInArrow(encode_leaves, "key binary, piece int, leaf int, ids array<int>").groupBy("key").applyInArrow(join, "key binary, ids array<int>")
+    parts = distinct.mapInArrow(leaves, "key binary, piece int, leaf int, data binary").repartition("key", F.floor(F.col("leaf") / 1024))
+    whole = parts.mapInArrow(encode_leaves, "key binary, piece int, leaf int, ids array<int>").groupBy("key").applyInArrow(join, "key binary, ids array<int>")
     rest = hard.select(*names, "key").join(whole, "key").select(*names, "ids")
     done = plain.unionByName(rest)
     return done.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("ids").alias(out))

@@ -2,6 +2,8 @@
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a Spark application, where their search path hasn't got it."""
+    root = Path(__file__).resolve().parents[1]
+    paths = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    application = spark.sparkContext.applicationId
+    if root in paths or application in _shipped:
+        return
+    package = Path(tempfile.mkdtemp()) / "newsloom.zip"  # on the driver, which serves it to all executors
+    with zipfile.ZipFile(package, "w") as held:
+        for path in sorted((root / "newsloom").rglob("*.py")):
+            held.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(str(package))
+    _shipped.add(application)
+
+
 def local(cores: str = "8", partitions: int = 8) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     spark = (

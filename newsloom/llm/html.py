@@ -117,25 +117,26 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def container(found: list[Block]) -> set[int] | None:
-    """Numbers of the blocks (by position) inside the element that holds the page's main heading; None without one."""
+def container(found: list[Block], widen: bool = True) -> set[int] | None:
+    """Numbers of the blocks (by position) inside the element that holds the page's main heading; None without one.
+
+    widen: where that element has no running text, the one around it is taken, then all that follows.
+    """
     heads = [i for i, b in enumerate(found) if b.tag == "h1" and not b.hidden]
     if not heads:
         return None
     best: set[int] = set()
     for i in heads:
         around = found[i].parents
-        for depth in (len(around) - 1, len(around) - 2):
+        for depth in (len(around) - 1, len(around) - 2)[: 2 if widen else 1]:
             if depth < 1:
                 break
             home = around[depth]
             held = {k for k, b in enumerate(found) if k > i and (home in b.parents or b.element == home)}
-            if any(prose(found[k]) for k in held):
+            if not widen or any(prose(found[k]) for k in held):
                 best |= held
                 break
-        else:
-            continue
-    if not best:  # the heading stands alone: what follows it
+    if not best and widen:  # the heading stands alone: what follows it
         best = {k for k in range(heads[0] + 1, len(found))}
     return best
 
@@ -148,9 +149,9 @@ def prose(b: Block) -> bool:
     return not b.hidden and not b.inside and b.linked < 0.6 and b.text.count(" ") >= 2 and bool(_ENDED.search(b.text))
 
 
-def article(found: list[Block]) -> list[int]:
+def article(found: list[Block], widen: bool = True) -> list[int]:
     """Positions of the blocks that stand where the article stands, prose or not."""
-    held = container(found)
+    held = container(found, widen)
     if held is None:
         teasers = {b.parents[-1] for b in found if b.tag in ("h2", "h3", "h4", "h5", "h6") and b.parents}
         inner = {b.element for b in found if b.tag == "body"} | {1, 2, 0}

@@ -121,7 +121,7 @@ def page_residue(page: str) -> bool:
     held = html.article(found)
     lines = [found[k].text for k in held]
     heads = [b.text for b in found if b.tag == "h1"]
-    if any(_placeholder(x) for x in heads) or residue(lines):
+    if any(_placeholder(x) for x in heads) or residue(lines) or residue([found[k].text for k in html.article(found, widen=False)]):
         return True
     if not any(html.prose(found[k]) for k in held):
         return residue([b.text for b in found if b.tag != "title"])

@@ -34,6 +34,7 @@ def test_pages():
     assert residue.page_residue(whole.replace(STORY, "Please turn on JavaScript to read this <b>story</b>."))
     assert residue.page_residue(whole.replace("Head", "{{ page.title }}"))
     assert residue.page_residue("<html><body><div id='app'></div><noscript>Access denied. No.</noscript></body></html>")
+    assert residue.page_residue("<body><div><h1>Just a moment</h1><div>By the desk</div><div>Loading…</div></div><div><p>All rights are reserved by the trust that prints this paper in the town.</p></div></body>")
     assert not residue.page_residue("") and not residue.page_residue("<p>")
 
 

@@ -72,10 +72,10 @@ def test_tfidf_has_unit_rows(spark):
 
 def test_models_tell_topics_apart(spark):
     rows = [(i, ("bridge road canal repair " if i % 2 else "cricket match score team ") * 3 + str(i), "infra" if i % 2 else "sport") for i in range(60)]
-    df = spark.createDataFrame(rows, "id int, t string, y string")
-    folds = models.cross_validate(df, "id", "t", "y", folds=2, features=64).collect()
+    df = spark.createDataFrame(rows, "id int, t string, topic string")
+    folds = models.cross_validate(df, "id", "t", "topic", folds=2, features=64).collect()
     assert len(folds) == 2 and min(r.macro_f1 for r in folds) > 0.9
-    said = models.pipeline("t", "y", "svc", 64).fit(df).transform(df)
+    said = models.pipeline("t", "topic", "svc", 64).fit(df).transform(df)
     assert said.where("prediction = y").count() == 60
 
 

@@ -59,9 +59,8 @@ def _forms() -> dict[int, str]:
         kind = unicodedata.decomposition(chr(code)).partition(" ")[0]
         if kind in ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>") or kind == "<compat>" and 0xFB00 <= code < 0xFB50:
             table[code] = unicodedata.normalize("NFKC", chr(code))
-    for other, one in SAME:
-        table.setdefault(ord(other), one)
-    return table
+    same = {ord(other): one for other, one in SAME}
+    return {code: said.translate(same) for code, said in table.items()} | same
 
 
 @lru_cache(maxsize=1)
@@ -119,12 +118,9 @@ def _main_script(text: str) -> str:
     return max(sorted(counts), key=counts.get) if counts else "Latin"
 
 
-def normal_form(text: str) -> str:
-    """The form in which texts that look the same are equal; the empty text stays empty."""
-    if text.isascii() and "\t" not in text:
-        return text
+def _step(text: str) -> str:
     if _special().search(text):
-        text = _MARK.sub("", text).translate(_forms())
+        text = _MARK.sub("", unicodedata.normalize("NFC", text)).translate(_forms())
         text = _SPACE.sub(" ", text)
         for pair in SEQUENCES:
             one, other = pair.split()
@@ -136,6 +132,21 @@ def normal_form(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+def normal_form(text: str) -> str:
+    """The form in which texts that look the same are equal; the empty text stays empty.
+
+    What one step joins (a letter and a mark that a deleted character kept apart) the next one sees.
+    """
+    if text.isascii() and "\t" not in text:
+        return text
+    for _ in range(8):
+        new = _step(text)
+        if new == text:
+            break
+        text = new
+    return text
+
+
 def with_forms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """The columns `keys`, and raw and form: 128-bit hashes of each text and of its normal form. Nulls are left out."""
     names = [f"k{i}" for i in range(len(keys))]

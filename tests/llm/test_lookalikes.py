@@ -28,7 +28,7 @@ def test_own_words_of_a_script_stay():
     assert lookalikes.normal_form("Это оса") == "Это оса"  # all letters of the second word have Latin look-alikes
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.text(max_size=40))
 def test_form_is_stable(text):
     once = lookalikes.normal_form(text)

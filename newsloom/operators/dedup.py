@@ -1,5 +1,7 @@
 """Exact and near duplicates among articles, by the keys and sketches of functions.text and functions.hashing."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,30 +70,69 @@ def with_signature(df: DataFrame, body: str) -> DataFrame:
     return df.withColumn("terms", text.tokens(F.col(body))).withColumn("sig", hashing.minhash(F.array_distinct("terms")))
 
 
-def lsh_candidates(df: DataFrame, key: str = "id", rows: int = 2, crowded: int = 1000) -> DataFrame:
-    """id_a, id_b of rows that share a band of their signature.
-
-    Rows with equal signatures are one class, and only the lowest id of a class meets others; so a
-    third of all rows being copies adds no pairs. A band shared by more than `crowded` classes is
-    split by the next band, as often as there are bands to look at for it.
+#: Rows of a part, and rows of two parts that are multiplied at once.
+PART, STEP = 8000, 500
+
+
+def _compare(threshold: float, table: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block that share a band and have the cosine. Rows: id, words (hashes), counts, bands, own and other (the parts that the block compares)."""
+    ids, own = table["id"].to_numpy(np.int64), table["own"].to_numpy(np.int64)
+    words = [np.asarray(w, np.int64) for w in table["words"]]
+    counts = [np.asarray(c, np.int64) for c in table["counts"]]
+    bands = np.array(table["bands"].tolist(), np.int64)
+    norms = np.sqrt(np.array([(c * c).sum() for c in counts], np.float64))
+    kind = np.float32 if norms.max() < 4096 else np.float64  # whole numbers below 2**24 are exact
+    low = own.min()
+    one = (table["own"] == table["other"]).all()
+    left = np.flatnonzero(own == low)
+    right = left if one else np.flatnonzero(own != low)
+    cut_ = lambda rows: [rows[at : at + STEP] for at in range(0, len(rows), STEP)]
+    vocabulary = lambda rows: np.unique(np.concatenate([words[r] for r in rows]))
+
+    def dense(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
+        w, c = np.concatenate([words[r] for r in rows]), np.concatenate([counts[r] for r in rows])
+        row = np.repeat(np.arange(len(rows)), [len(words[r]) for r in rows])
+        at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+        held = known[at] == w
+        out = np.zeros((len(rows), len(known)), kind)
+        out[row[held], at[held]] = c[held]
+        return out
+
+    found = [pd.DataFrame({"id_a": ids[:0], "id_b": ids[:0], "cosine": norms[:0]})]
+    heads, tails = cut_(left), cut_(right)
+    tail_words = [vocabulary(t) for t in tails]
+    for n, a in enumerate(heads):
+        head_words = vocabulary(a)
+        for m in range(n if one else 0, len(tails)):
+            b = tails[m]
+            known = np.intersect1d(head_words, tail_words[m], assume_unique=True)
+            if not len(known):
+                continue
+            cosine = np.round(dense(a, known) @ dense(b, known).T / (norms[a][:, None] * norms[b][None]), 3)
+            x, y = np.nonzero(np.triu(cosine >= threshold, 1) if one and m == n else cosine >= threshold)
+            for at in range(0, len(x), 20_000):
+                i, j = x[at : at + 20_000], y[at : at + 20_000]
+                share = (bands[a[i]] == bands[b[j]]).any(axis=1)
+                i, j = i[share], j[share]
+                found.append(pd.DataFrame({"id_a": np.minimum(ids[a[i]], ids[b[j]]), "id_b": np.maximum(ids[a[i]], ids[b[j]]), "cosine": cosine[i, j]}))
+    return pd.concat(found)
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.6, least_terms: int = 10, rows: int = 2) -> DataFrame:
+    """id_a, id_b, cosine: rows that share a band of their signature and whose word counts have a cosine of at least `threshold`. df comes from with_signature.
+
+    Rows with equal signatures are one class, and only the lowest id of a class meets others. Rows are put in parts by a hash and each two parts are compared in a block,
+    so the work of a task doesn't depend on how many rows share a band.
     """
-    classes = df.groupBy("sig").agg(F.min(key).alias("id"))
-    all_bands = classes.select("id", hashing.bands(F.col("sig"), rows).alias("b"))
-    at = all_bands.select("id", F.posexplode("b").alias("n", "band"), "b")
-    sizes = at.groupBy("n", "band").agg(F.count("*").alias("size")).where("size > 1")
-    at = at.join(sizes, ["n", "band"])
-    plain = at.where(F.col("size") <= crowded).select("id", F.xxhash64("n", "band").alias("key"))
-    dense = at.where(F.col("size") > crowded).select("id", "n", "band", F.posexplode("b").alias("m", "other")).where("m != n")
-    dense = dense.select("id", F.xxhash64("n", "band", "m", "other").alias("key"))
-    held = plain.unionByName(dense)
-    a, b = held.withColumnRenamed("id", "id_a"), held.withColumnRenamed("id", "id_b")
-    return a.join(b, "key").where("id_a < id_b").select("id_a", "id_b").distinct()
-
-
-def near_duplicates(df: DataFrame, threshold: float = 0.6, least_terms: int = 10) -> DataFrame:
-    """id_a, id_b, cosine: candidates whose word counts have a cosine of at least `threshold`. df comes from with_signature."""
-    pairs = lsh_candidates(df.where(F.size("terms") >= least_terms))
-    texts = df.select("id", "terms")
-    held = pairs.join(texts.withColumnsRenamed({"id": "id_a", "terms": "a"}), "id_a").join(texts.withColumnsRenamed({"id": "id_b", "terms": "b"}), "id_b")
-    cosine = text.term_cosine(F.col("a"), F.col("b"))
-    return held.select("id_a", "id_b", F.round(cosine, 3).alias("cosine")).where(F.col("cosine") >= threshold)
+    held = df.where(F.size("terms") >= least_terms)
+    held = held.groupBy("sig").agg(F.min_by("terms", "id").alias("terms"), F.min("id").alias("id"))
+    words = F.array_sort(F.transform("terms", lambda w: F.xxhash64(w)))
+    held = held.select("id", "sig", words.alias("all")).withColumn("words", F.array_distinct("all"))
+    positions = F.transform("words", lambda w: F.array_position("all", w))
+    counts = F.zip_with(positions, F.concat(F.slice(positions, 2, 1 << 30), F.array(F.size("all").cast("bigint") + 1)), lambda a, b: b - a)
+    classes = cut(held.select("id", "words", counts.cast("array<int>").alias("counts"), hashing.bands(F.col("sig"), rows).alias("bands")))
+    parts = max(-(-(n := classes.count()) // PART), min(5, -(-n // STEP)), 1)
+    split = classes.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("other", F.col("other").cast("bigint"))
+    blocks = split.groupBy(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    pairs = blocks.applyInPandas(lambda table: _compare(threshold, table), "id_a bigint, id_b bigint, cosine double")
+    return pairs

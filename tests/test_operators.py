@@ -49,6 +49,15 @@ def test_near_duplicates(spark):
     assert (1, 2) in got and not any(3 in p for p in got)
 
 
+def test_near_duplicates_of_a_crowded_band(spark):
+    """More rows than the old limit of 1000 share one band and no second one; their pairs are all found."""
+    words = " ".join(f"w{chr(97 + i)}" for i in range(12)).split()
+    data = [(i, words, [7, 7, *range(1000 * i, 1000 * i + 126)]) for i in range(1, 1101)]
+    data = [(i, [*w, f"x{i}"], s) for i, w, s in data]
+    df = spark.createDataFrame(data, "id bigint, terms array<string>, sig array<bigint>")
+    assert dedup.near_duplicates(df).count() == 1100 * 1099 // 2
+
+
 def test_components_against_union_find(spark):
     random.seed(2)
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]

@@ -121,18 +121,24 @@ def _compare(threshold: float, table: pd.DataFrame) -> pd.DataFrame:
 def near_duplicates(df: DataFrame, threshold: float = 0.6, least_terms: int = 10, rows: int = 2) -> DataFrame:
     """id_a, id_b, cosine: rows that share a band of their signature and whose word counts have a cosine of at least `threshold`. df comes from with_signature.
 
-    Rows with equal signatures are one class, and only the lowest id of a class meets others. Rows are put in parts by a hash and each two parts are compared in a block,
+    Rows with equal word counts and signatures are one class: its lowest id meets the others, and each
+    of its other rows is paired with that id at a cosine of 1; so each row with a near one is named, and copies
+    of one text add no pairs among themselves. Rows are put in parts by a hash and each two parts are compared in a block,
     so the work of a task doesn't depend on how many rows share a band.
     """
     held = df.where(F.size("terms") >= least_terms)
-    held = held.groupBy("sig").agg(F.min_by("terms", "id").alias("terms"), F.min("id").alias("id"))
     words = F.array_sort(F.transform("terms", lambda w: F.xxhash64(w)))
     held = held.select("id", "sig", words.alias("all")).withColumn("words", F.array_distinct("all"))
     positions = F.transform("words", lambda w: F.array_position("all", w))
     counts = F.zip_with(positions, F.concat(F.slice(positions, 2, 1 << 30), F.array(F.size("all").cast("bigint") + 1)), lambda a, b: b - a)
-    classes = cut(held.select("id", "words", counts.cast("array<int>").alias("counts"), hashing.bands(F.col("sig"), rows).alias("bands")))
+    held = cut(held.select("id", "sig", "words", counts.cast("array<int>").alias("counts"), F.xxhash64("all").alias("text")))
+    firsts = held.groupBy("sig", "text").agg(F.min_by(F.struct("words", "counts"), "id").alias("m"), F.min("id").alias("id"))
+    classes = cut(firsts.select("id", "m.*", hashing.bands(F.col("sig"), rows).alias("bands"), "sig", "text"))
+    members = held.select("id", "sig", "text").join(classes.select(F.col("id").alias("id_a"), "sig", "text"), ["sig", "text"]).where("id > id_a")
+    members = members.select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("cosine"))
+    classes = classes.drop("sig", "text")
     parts = max(-(-(n := classes.count()) // PART), min(5, -(-n // STEP)), 1)
     split = classes.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("other", F.col("other").cast("bigint"))
     blocks = split.groupBy(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     pairs = blocks.applyInPandas(lambda table: _compare(threshold, table), "id_a bigint, id_b bigint, cosine double")
-    return pairs
+    return pairs.unionByName(members)

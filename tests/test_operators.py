@@ -58,6 +58,17 @@ def test_near_duplicates_of_a_crowded_band(spark):
     assert dedup.near_duplicates(df).count() == 1100 * 1099 // 2
 
 
+def test_near_duplicates_of_one_word_set(spark):
+    """Rows of one signature: different counts are compared, equal ones are members of the lowest id."""
+    words = "alpha beta gamma delta kappa lambda sigma theta omega zeta".split()
+    data = [(1, words), (2, words + ["alpha"] * 2), (3, words[::-1]), (4, words + ["alpha"] * 90), (5, words + ["alpha"] * 80)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "id bigint, body string")
+    got = {(a, b): c for a, b, c in rows(dedup.near_duplicates(dedup.with_signature(df, "body")))}
+    cosine = lambda a, b: (a * b + 9) / ((a * a + 9) * (b * b + 9)) ** 0.5
+    want = {(i, j): round(cosine(a, b), 3) for i, a in ((1, 1), (2, 3), (4, 91), (5, 81)) for j, b in ((1, 1), (2, 3), (4, 91), (5, 81)) if i < j}
+    assert got == {p: c for p, c in want.items() if c >= 0.6} | {(1, 3): 1.0}
+
+
 def test_components_against_union_find(spark):
     random.seed(2)
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]

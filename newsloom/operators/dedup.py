@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import hashing, text
+from newsloom.functions import hashing, languages, text
 from newsloom.session import cut
 
 
@@ -66,8 +66,10 @@ def batch_duplicates(df: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def with_signature(df: DataFrame, body: str) -> DataFrame:
-    """terms and the unigram signature of each row."""
-    return df.withColumn("terms", text.tokens(F.col(body))).withColumn("sig", hashing.minhash(F.array_distinct("terms")))
+    """terms (without the function words of English and Hindi) and the unigram signature (of all words) of each row."""
+    content = lambda w: ~w.isin(*languages.ENGLISH, *languages.HINDI)
+    df = df.withColumn("terms", text.tokens(F.col(body))).withColumn("sig", hashing.minhash(F.array_distinct("terms")))
+    return df.withColumn("terms", F.filter("terms", content))
 
 
 #: Rows of a part, and rows of two parts that are multiplied at once.

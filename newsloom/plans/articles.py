@@ -129,8 +129,9 @@ def batch_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @core.query()
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of known articles and records of near word counts, by bands of a minimum hash signature."""
-    rows = table(spark, folder, "article_records").select(F.col("record_id").alias("id"), "body")
-    return dedup.near_duplicates(dedup.with_signature(rows, "body"), 0.9)
+    known = table(spark, folder, "known_articles").select(F.col("known_id").alias("id"), "body")
+    rows = known.unionByName(table(spark, folder, "article_records").select(F.col("record_id").alias("id"), "body"))
+    return dedup.near_duplicates(dedup.with_signature(rows, "body"))
 
 
 @core.query("""

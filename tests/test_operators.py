@@ -69,6 +69,22 @@ def test_near_duplicates_of_one_word_set(spark):
     assert got == {p: c for p, c in want.items() if c >= 0.6} | {(1, 3): 1.0}
 
 
+def test_near_duplicates_count_content_words(spark):
+    """Function words don't make texts alike or long enough, and the query looks at the history."""
+    stop = " the of and to in a that is for on" * 3
+    a, b = "bridge river council market ferry canal school road mill tank" + stop, "cricket match bowler pitch umpire stadium toss wicket over innings" + stop
+    df = spark.createDataFrame([(1, a), (2, b), (3, "bridge river" + stop), (4, "river bridge" + stop)], "id bigint, body string")
+    assert rows(dedup.near_duplicates(dedup.with_signature(df, "body"))) == []
+
+
+def test_near_duplicates_query_reads_the_history(spark, folder):
+    from newsloom.plans import articles
+
+    known = {r[0] for r in spark.read.parquet(f"{folder}/known_articles.parquet").select("known_id").collect()}
+    got = articles.near_duplicates(spark, folder).collect()
+    assert any(r.id_a in known or r.id_b in known for r in got) and any(r.cosine < 0.9 for r in got)
+
+
 def test_components_against_union_find(spark):
     random.seed(2)
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]

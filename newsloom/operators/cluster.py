@@ -61,21 +61,28 @@ def assign(pairs: DataFrame, key: str, story: str, score: str, threshold: float
     return best.select(key, (-F.col("m.t")).alias(story), F.col("m.s").alias(score))
 
 
-def candidates(articles: DataFrame, hours: int = 72, crowded: int = 1000) -> DataFrame:
+def _meet(a: DataFrame, b: DataFrame, crowded: int) -> DataFrame:
+    """id_a, at_a, id_b, at_b of rows (id, at, key, bin) of a and b with one key and bin; more than `crowded` rows of a are met in parts."""
+    parts = a.groupBy("key", "bin").agg(F.ceil(F.count("*") / crowded).alias("parts")).where("parts > 1")
+    count = F.coalesce("parts", F.lit(1).cast("bigint"))
+    a = a.join(parts, ["key", "bin"], "left").withColumn("part", F.pmod(F.xxhash64("id"), count)).drop("parts")
+    b = b.join(parts, ["key", "bin"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))).drop("parts")
+    return a.withColumnsRenamed({"id": "id_a", "at": "at_a"}).join(b.withColumnsRenamed({"id": "id_b", "at": "at_b"}), ["key", "bin", "part"])
+
+
+def candidates(articles: DataFrame, hours: float = 72, crowded: int = 1000) -> DataFrame:
     """id_a, id_b: articles that share a place or an entity and lie at most `hours` apart.
 
-    articles: id, at (seconds), districts, entities. Times are put in bins, so a place in the news
-    for years meets only its neighbours in time. A key with more than `crowded` articles in a bin
-    is narrowed by the event, so that one event's flood of reports isn't paired with everything.
+    articles: id, at (seconds), districts, entities, event_type. Times are put in bins, so a place in the news
+    for years meets only its neighbours in time. A key with more than `crowded` articles in a bin is
+    put in parts by a hash on one side, and the other side is sent to each part.
     """
-    width = hours * 3600
-    keys = F.array_distinct(F.concat(F.coalesce("districts", F.array().cast("array<string>")), F.coalesce("entities", F.array().cast("array<string>"))))
-    rows = articles.where("at IS NOT NULL").select("id", "at", "event_type", F.explode(keys).alias("key")).withColumn("bin", F.floor(F.col("at") / width))
-    sizes = rows.groupBy("key", "bin").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, ["key", "bin"]).withColumn("key", F.when(F.col("n") > crowded, F.concat_ws("\u0001", "key", F.coalesce("event_type", F.lit("")))).otherwise(F.col("key")))
-    a = rows.select("key", "bin", F.col("id").alias("id_a"), F.col("at").alias("at_a"))
-    b = rows.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("id").alias("id_b"), F.col("at").alias("at_b"))
-    near = a.join(b, ["key", "bin"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= width))
+    width = int(hours * 3600)
+    none = F.array().cast("array<string>")
+    keys = F.array_distinct(F.concat(F.coalesce("districts", none), F.coalesce("entities", none)))
+    rows = articles.where("at IS NOT NULL").select("id", "at", F.explode(keys).alias("key")).withColumn("bin", F.floor(F.col("at") / width))
+    around = rows.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    near = _meet(rows, around, crowded).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= width))
     return near.select("id_a", "id_b").distinct()
 
 

@@ -253,6 +253,16 @@ def test_stories(spark):
     assert rows(best) == [(1, 5, 0.7)]
 
 
+def test_candidates_of_a_crowded_place(spark):
+    """Different events, and a crowded bin beside one that isn't."""
+    hour = 3600
+    data = [(i, i % 2 * 10 * hour, "H", None, None, ["Patna"], f"event{i}" if i % 3 else None, None) for i in range(1, 8)] + [(9, 190 * hour, "H", None, None, ["Patna"], None, None), (8, 150 * hour, "H", None, None, ["Patna"], "event1", None)]
+    df = spark.createDataFrame(data, "id bigint, at bigint, headline string, body string, entities array<string>, districts array<string>, event_type string, category string")
+    want = sorted((a[0], b[0]) for a in data for b in data if a[0] < b[0] and abs(a[1] - b[1]) <= 72 * hour)
+    for crowded in (1, 3, 1000):
+        assert rows(cluster.candidates(df, 72, crowded)) == want
+
+
 def test_walk_and_advance(spark):
     entries = spark.createDataFrame([("a", 1, "u1", 90), ("a", 2, "u2", None), ("a", 3, "u3", 70), ("a", 4, "u4", 50), ("b", 1, "v1", 9), ("b", 2, "seen", 8), ("c", 1, "w", 1)], "k string, position int, url string, at bigint")
     cursors = spark.createDataFrame([("a", "x", 60), ("b", "seen", None), ("d", "old", 5)], "k string, seen_url string, seen_at bigint")

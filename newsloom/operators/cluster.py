@@ -70,20 +70,25 @@ def _meet(a: DataFrame, b: DataFrame, crowded: int) -> DataFrame:
     return a.withColumnsRenamed({"id": "id_a", "at": "at_a"}).join(b.withColumnsRenamed({"id": "id_b", "at": "at_b"}), ["key", "bin", "part"])
 
 
-def candidates(articles: DataFrame, hours: float = 72, crowded: int = 1000) -> DataFrame:
-    """id_a, id_b: articles that share a place or an entity and lie at most `hours` apart.
+def candidates(articles: DataFrame, hours: float = HOURS, crowded: int = 1000) -> DataFrame:
+    """id_a, id_b: articles that share a place, an entity or both category and event and lie at most `hours` apart; one without a time lies near all.
 
-    articles: id, at (seconds), districts, entities, event_type. Times are put in bins, so a place in the news
+    articles: id, at (seconds), districts, entities, event_type, category. Times are put in bins, so a place in the news
     for years meets only its neighbours in time. A key with more than `crowded` articles in a bin is
     put in parts by a hash on one side, and the other side is sent to each part.
     """
     width = int(hours * 3600)
     none = F.array().cast("array<string>")
-    keys = F.array_distinct(F.concat(F.coalesce("districts", none), F.coalesce("entities", none)))
-    rows = articles.where("at IS NOT NULL").select("id", "at", F.explode(keys).alias("key")).withColumn("bin", F.floor(F.col("at") / width))
-    around = rows.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    near = _meet(rows, around, crowded).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= width))
-    return near.select("id_a", "id_b").distinct()
+    compatible = F.when(F.col("category").isNotNull() & F.col("event_type").isNotNull(), F.array(F.concat_ws("\u0001", F.lit(""), "category", "event_type"))).otherwise(none)
+    keys = F.array_compact(F.array_distinct(F.concat(F.coalesce("districts", none), F.coalesce("entities", none), compatible)))
+    rows = articles.select("id", "at", F.explode(keys).alias("key"))
+    dated = rows.where("at IS NOT NULL").withColumn("bin", F.floor(F.col("at") / width))
+    around = dated.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    zero = F.lit(0).cast("bigint")
+    undated = rows.where("at IS NULL").withColumn("bin", zero)
+    near = _meet(dated, around, crowded).where(F.abs(F.col("at_a") - F.col("at_b")) <= width)
+    near = near.where("id_a < id_b").unionByName(_meet(rows.withColumn("bin", zero), undated, crowded).where("id_a != id_b"))
+    return near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
 def stories(articles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

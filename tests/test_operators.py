@@ -263,6 +263,17 @@ def test_candidates_of_a_crowded_place(spark):
         assert rows(cluster.candidates(df, 72, crowded)) == want
 
 
+def test_stories_over_days_and_without_time(spark):
+    """A week apart, undated, and alike in category and event with no place: against all pairs."""
+    hour, said = 3600, "Bridge at Patna collapses, 12 hurt"
+    data = [
+        (1, 0, said, None, ["b"], ["Patna"], "collapse", "infra"), (2, 160 * hour, said, None, ["b"], ["Patna"], "collapse", "infra"), (3, None, said, None, ["b"], ["Patna"], "collapse", "infra"),
+        (4, 900 * hour, said, None, None, None, "collapse", "infra"), (5, 900 * hour, said, None, None, None, "collapse", "infra"), (6, 1800 * hour, said, None, None, ["Gaya"], "collapse", "infra"), (7, None, "Other", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(data, "id bigint, at bigint, headline string, body string, entities array<string>, districts array<string>, event_type string, category string")
+    assert rows(cluster.stories(df)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7)]
+
+
 def test_walk_and_advance(spark):
     entries = spark.createDataFrame([("a", 1, "u1", 90), ("a", 2, "u2", None), ("a", 3, "u3", 70), ("a", 4, "u4", 50), ("b", 1, "v1", 9), ("b", 2, "seen", 8), ("c", 1, "w", 1)], "k string, position int, url string, at bigint")
     cursors = spark.createDataFrame([("a", "x", 60), ("b", "seen", None), ("d", "old", 5)], "k string, seen_url string, seen_at bigint")

@@ -23,7 +23,9 @@ def _stamps(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, name).select(F.lit(name).alias("src"), F.col(key).alias("row_id"), "source_id", F.col(value).alias("value"))
         for name, key, value in STAMPS
     ]
-    rows = reduce(DataFrame.unionByName, rows).join(F.broadcast(sources), "source_id", "left")
+    rows = reduce(DataFrame.unionByName, rows)
+    zones += timestamps.named_zones(rows, "value")
+    rows = rows.join(F.broadcast(sources), "source_id", "left")
     return timestamps.attach(rows, "value", "home_tz", "date_order", timestamps.offset_intervals(spark, zones))
 
 

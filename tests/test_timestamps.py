@@ -44,6 +44,21 @@ ROWS = [
     (None, "Asia/Kolkata", None, "unparsed"),
     ("2025-03-01 10:00:00", "Not/AZone", None, "no_zone"),
     ("x" * 100_000, "Asia/Kolkata", None, "unparsed"),
+    ("1965-06-01 10:00:00", "Asia/Kolkata", None, "1965-06-01T04:30:00+00:00"),
+    ("1850-06-01 12:00:00", "America/New_York", None, "1850-06-01T16:56:02+00:00"),
+    ("2085-07-01 10:00:00", "America/New_York", None, "2085-07-01T14:00:00+00:00"),
+    ("2150-07-01 10:00:00", "America/New_York", None, "2150-07-01T14:00:00+00:00"),
+    ("2150-03-08 02:30:00", "America/New_York", None, "nonexistent"),
+    ("2150-11-01 01:30:00", "America/New_York", None, "ambiguous"),
+    ("2024-03-01 10:00:00 [Europe/London]", "Asia/Kolkata", None, "2024-03-01T10:00:00+00:00"),
+    ("2024-07-01 10:00:00[Etc/GMT+5]", None, None, "2024-07-01T15:00:00+00:00"),
+    ("2024-07-01 10:00:00 [No/Where]", "Asia/Kolkata", None, "no_zone"),
+    ("2024-03-01 10:00:00 +99:99", "Asia/Kolkata", None, "invalid"),
+    ("2024-03-01 10:00:00 +05:75", "Asia/Kolkata", None, "invalid"),
+    ("Tue Mar  3 10:00:00 2026", "Asia/Kolkata", None, "2026-03-03T04:30:00+00:00"),
+    ("Tue Mar 3 10:00:00 EST 2026", "America/New_York", None, "2026-03-03T15:00:00+00:00"),
+    ("Tuesday, 03-Mar-26 10:00:00 GMT", None, None, "2026-03-03T10:00:00+00:00"),
+    ("Sunday, 06-Nov-94 08:49:37 GMT", None, None, "1994-11-06T08:49:37+00:00"),
 ]
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import boilerplate, history, language, lookalikes, mixing, residue, tokenizers, truncation
 from newsloom.plans.registry import Registry
-from newsloom.session import cut
+from newsloom.session import cut, small
 from newsloom.sources import table
 
 llm = Registry()
@@ -19,7 +19,7 @@ def _residue(spark: SparkSession, folder: str, src: str) -> DataFrame:
 
 def _sound_articles(spark: SparkSession, folder: str) -> DataFrame:
     """article_records without the rows of p5_found, whose ids are written first: else each use of the result would judge all bodies again."""
-    found = cut(_residue(spark, folder, "article_records").withColumnRenamed("row_id", "record_id").distinct())
+    found = small(_residue(spark, folder, "article_records").withColumnRenamed("row_id", "record_id").distinct())
     return table(spark, folder, "article_records").join(found, "record_id", "left_anti")
 
 

@@ -1,9 +1,11 @@
 """Template residue, filler, error messages and script notices in place of an article.
 
-Unfilled placeholders are found by one grammar for each kind of delimiter. They are discounted
-where the text is about code: quoted or fenced placeholders in sentences that speak of templates,
-and texts dense in code. Messages are matched as whole lines, so a report about an error page isn't
-taken for one.
+Unfilled placeholders are found by one grammar for each kind of delimiter, and judged in the whole
+text: those in fenced code, those quoted or named as examples in a sentence about templates, and those
+of a text dense in code don't count. What only a machine writes (a stack trace, an undefined variable)
+counts wherever it takes a line; what a server tells its reader counts by structure: a text of short
+sentences, without running text, in which a thing of the web and what befell it stand together. So
+a report about an error page, or a sentence that begins like a message, isn't taken for one.
 """
 
 from __future__ import annotations
@@ -21,29 +23,38 @@ from newsloom.llm import html
 _GRAMMAR = re.compile(
     r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{0,80}%\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%[^%\n]{0,80}%>|<\?(?:php|=)[^\n]{0,80}\?>|\{\d{1,2}\}|"
     r"\[\[[^\[\]\n]{1,60}\]\]|%%?[A-Z][A-Z_]{2,40}%%?|\b__[A-Z][A-Z0-9_]{1,40}__|"
+    r"\{[a-z][a-z0-9_]{1,30}\}|\$[A-Z][A-Z_]{2,30}\$|\[(?:First|Last|Full|Your|User|Company|Customer|Author|Event|City|Start|End|Due) (?:Name|Date|Title|Address|City|Number|Place|Time)\]|"
     r"\[(?:INSERT|ADD|ENTER|YOUR|TYPE|REPLACE)\b[^\]\n]{0,60}\]|\[(?:NAME|TK|TKTK|DATE|DAY|PLACE|CITY|NUMBER|AMOUNT|TITLE|QUOTE|BODY|TEXT|HEADLINE|LEAD|SOURCE)\]|"
     r"<(?:[Yy]our|[Ii]nsert|[Ee]nter) [a-z ]{2,40}>|@Model\.\w+|@\{[\w.]+\}|\[object \w+\]"
 )
-_CODE = re.compile(r"```|<code|<pre|\bdef \w+\(|\bfunction\s*\w*\(|=>|;\s*\}|\bimport \w+|</?\w+>")
+_CODE = re.compile(r"```|~~~|<code|<pre|\bdef \w+\(|\bfunction\s*\w*\(|=>|;\s*\}|\bimport \w+|</?\w+>")
 _ABOUT = re.compile(r"\b(?:template|placeholder|tutorial|syntax|snippet|variable|code|markup|programm\w+|developer|lesson)s?\b", re.I)
 _QUOTES = "'\"`‘’“”"
 
-# Messages that take a whole line, in the languages of the sources.
-_ERRORS = re.compile(
+# What only a machine writes, as a whole line.
+_MACHINE = re.compile(
     r"^(?:"
-    r"(?:\d{3}\s*)$|(?:http\s*)?(?:error|त्रुटि|ত্রুটি|خرابی)\s*\d{3}\b|error: \S.{0,60}(?:failed|could not|unable|missing|code)|"
-    r"(?:fatal |parse |syntax )?(?:error|warning|notice): (?:call to|undefined|cannot|failed|uncaught|unexpected|division)|fatal error\b|stack trace:|#\d+ (?:/|\{main\})|"
-    r"\w*(?:error|exception)(?::| at \w)|traceback \(most recent|warning: |"
-    r"(?:the )?page (?:you (?:asked|are looking|requested)|not found|cannot|could not|does not)|not found\b[.!]?$|sorry[!,.] (?:this|the|that|we)\b.{0,60}(?:moved|existed|found|available)|"
-    r"access denied[.!:]|permission denied|forbidden\b|(?:this )?content (?:is )?(?:blocked|unavailable|not available)|this (?:item|page|post|story|article|content) (?:was|has been|is) (?:removed|deleted|unavailable|no longer)|"
-    r"too many requests|rate limit|session (?:has )?expired|sign in again|log in again|bad gateway|gateway time|service (?:temporarily )?unavailable|internal server error|"
-    r"request timed out|connection (?:timed|reset|refused)|could not connect|(?:the )?(?:server|database) (?:is|could|was|error)|verify (?:that )?you are (?:a )?human|checking your browser|just a moment|"
-    r"[\w.-]+ is down for maintenance|(?:we are|site is|down) (?:down )?(?:for|under) maintenance|"
-    r"यह (?:पृष्ठ|पेज) (?:उपलब्ध नहीं|नहीं मिला)|(?:पृष्ठ|पेज|खबर) नहीं मिल|त्रुटि|सर्वर (?:व्यस्त|त्रुटि)|पाना भेटिएन|पृष्ठ भेटिएन|সার্ভার|পাতাটি (?:খুঁজে )?পাওয়া যায়নি|পাতা পাওয়া যায়নি|صفحہ نہیں ملا|سرور|"
-    r"go back to the front page of|undefined(?:, undefined)*$|null$|nan$|none$|\(no content\)$|\[object"
+    r"(?:\d{3}\s*)$|(?:http|http/\d(?:\.\d)?|status|error|त्रुटि|ত্রুটি|خرابی)(?: (?:code|status|error))?:?\s*[45]\d\d\b.{0,80}$|[45]\d\d[\s:.–-]+(?:error|not found|forbidden|bad gateway|internal server|service unavailable|gateway time|too many|unauthori[sz]ed)\b.{0,60}$|"
+    r"error: \S.{0,60}(?:failed|could not|unable|missing|code \d)|(?:fatal |parse |syntax )?(?:error|warning|notice): (?:call to|undefined|cannot (?:modify|redeclare|read|open|use)|failed (?:to|opening)|uncaught|unexpected|division by)|"
+    r"fatal error\b|stack trace:|#\d+ (?:/|\{main\})|\w+(?:Error|Exception)(?:: | at \w)|traceback \(most recent|"
+    r"page not found(?:[.!]|$)|undefined(?:, undefined)*$|null$|nan$|none$|\(no content\)$|\[object \w+\]"
     r")",
     re.I,
 )
+# Things of the web, what befell them, and what their reader is told to do, in the languages of the sources.
+_THING = re.compile(
+    r"\b(?:page|site|website|server|host|browser|session|connection|database|gateway|service|request|requests|address|link|url|content|item|story|article|access|permission|something|captcha|puzzle|maintenance|front page|home page)\b|"
+    r"[\w-]+\.(?:example|com|org|net|in)\b|पृष्ठ|पेज|खबर|सर्वर|पाना|त्रुटि|সার্ভার|পাতা|صفحہ|سرور",
+    re.I,
+)
+_BEFELL = re.compile(
+    r"not found|(?:can ?not|can['’]t|could not|couldn['’]t) (?:be )?(?:found|displayed|loaded|reached|connect|complete|open)|is not here|does(?: not|n['’]t) exist|never existed|(?:has|have|was|been|is) (?:moved|removed|deleted|blocked|unavailable|expired)|"
+    r"\b(?:unavailable|expired|denied|forbidden|timed? ?out|timed out|went wrong|too many|no longer|not available)\b|blocked in your|(?:down|closed) for (?:scheduled )?maintenance|under maintenance|bad gateway|no answer|internal server error|connection (?:reset|refused)|"
+    r"you are (?:a )?human|checking your browser|go back to the front page|rate limit|(?:sign|log) in again|do not have permission|"
+    r"उपलब्ध नहीं|नहीं मिल|त्रुटि|व्यस्त|भेटिएन|পাওয়া যায়নি|পাওয়া যায়নি|ব্যস্ত|نہیں ملا|مصروف",
+    re.I,
+)
+_MOMENT = re.compile(r"^(?:just a moment|one moment(?:,? please)?|please wait)\s*(?:…|\.{1,3}|!)?$", re.I)
 _PART = re.compile(r"^(?:the )?(?:rest|remainder) of (?:this|the) (?:story|article|page|text)\b.{0,40}(?:could not|cannot|failed|was not|is not)", re.I)
 _SCRIPTS = re.compile(
     r"^(?:"
@@ -53,11 +64,17 @@ _SCRIPTS = re.compile(
     r")",
     re.I,
 )
-_FILLER = re.compile(r"^(?:dummy text\b|(?:write|type|enter|put) your (?:story|text|article|content)\b|यहाँ खबर का|x{3,}(?: x+)+$|lorem ipsum\b|placeholder text\b|sample text\b|.{0,30}\bXXXX? .{0,80}\bTK\b)", re.I)
+_FILLER = re.compile(r"^(?:dummy text\b|(?:write|type|enter|put) your (?:story|text|article|content)\b|यहाँ खबर का|x{3,}(?: x+)+$|lorem ipsum\b|placeholder text\b|sample text\b)", re.I)
+_GAPS = re.compile(r".{0,30}\bXXXX? .{0,80}\bTK\b")
 # Words of the customary filler.
 _LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua porta quis velit rutrum neque nulla felis vitae urna sapien culpa sint".split())
 _WORD = re.compile(r"[^\W\d_]+")
-_TERMINATED = re.compile(r"[.!?।۔][\"'”’)]*$")
+_ENDS = frozenset(".!?।۔")
+
+
+def _ended(line: str) -> bool:
+    return line.rstrip("\"'”’)")[-1:] in _ENDS
+
 
 
 def _placeholder(text: str) -> bool:
@@ -70,49 +87,71 @@ def _placeholder(text: str) -> bool:
     for m in hits:
         before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
         quoted = before in _QUOTES and after in _QUOTES and before and after
-        if not (quoted and _ABOUT.search(text[max(0, m.start() - 160) : m.end() + 160])):
+        if quoted and _ABOUT.search(text[max(0, m.start() - 160) : m.end() + 160]):
+            continue
+        start = max(text.rfind(c, 0, m.start()) for c in ".!?।۔\n") + 1
+        said = _GRAMMAR.sub(" ", text[start : m.end() + 120])
+        if not (_ABOUT.search(text[start : m.start()]) and len(said.split()) >= 8):  # a sentence about the thing, with the thing as its example
             return True
     return False
 
 
 def _filler(line: str) -> bool:
-    if _FILLER.match(line):
+    if _FILLER.match(line) or ("XXX" in line and _GAPS.match(line)):
         return True
+    first = line.split(None, 12)
+    if len(first) < 8:
+        return False
+    few = len(set(first[:12])) <= 10
+    if not few and not any(w.strip(".,").lower() in _LOREM for w in first[:3]):  # a filler line has no other words
+        return False
     words = line.split()
-    if len(words) >= 4 and len(set(words)) <= min(10, 0.25 * len(words)):
+    if len(set(words)) <= min(10, 0.25 * len(words)):
         return True
-    if len(words) < 8:
-        return False
-    if not any(w.strip(".,").lower() in _LOREM for w in words[:3]):  # a filler line has no other words
+    if not any(w.strip(".,").lower() in _LOREM for w in first[:3]):
         return False
     words = _WORD.findall(line.lower())
     return sum(w in _LOREM for w in words) >= 0.6 * len(words)
 
 
-_CODE_FIRST = re.compile(r"^\d{3}[\s:.–-]+(?=\D)")
+#: A message is told in sentences of at most so many words.
+SHORT = 11
+_END = re.compile(r"[.!?।۔…]+(?:\s+|$)")
 
 
-def _message(line: str) -> bool:
-    return len(line) <= 240 and bool(_ERRORS.match(line) or _ERRORS.match(_CODE_FIRST.sub("", line, count=1)))
+def _told(line: str) -> bool:
+    """Whether a line tells its reader, in short sentences, what befell a page or a server."""
+    if _MOMENT.match(line):
+        return True
+    parts = [p for p in _END.split(line) if p.strip()]
+    if not parts or max(len(p.split()) for p in parts) > SHORT or "," in parts[0] and len(parts[0].split()) > 8:
+        return False
+    return bool(_BEFELL.search(line) and _THING.search(line)) and ": how " not in line.lower()
 
 
-_SUSPECT = re.compile(r"[{}<\[@%]|__|\bTK\b")
+_SUSPECT = re.compile(r"[{}<\[@%$_]")
 
 
 def residue(lines: list[str]) -> bool:
     """Whether lines that stand in an article's place hold residue."""
-    told, script = 0, False
+    open_, fenced, rest = False, False, []
     for line in lines:
         line = line.strip()
-        if not line:
-            continue
-        if (_SUSPECT.search(line) and _placeholder(line)) or _message(line) or _PART.match(line) or _filler(line):
+        if line.startswith(("```", "~~~")):
+            open_, fenced = not open_, True
+        elif line and not open_:
+            rest.append(line)
+    if open_:  # a fence that isn't closed fences nothing
+        rest, fenced = [x.strip() for x in lines if x.strip()], False
+    for line in rest:
+        if (_SUSPECT.search(line) and _placeholder(line)) or _MACHINE.match(line) or _PART.match(line) or _filler(line):
             return True
-        if len(line) <= 240 and _SCRIPTS.match(line):
-            script = True
-        elif len(line) >= 60 and _TERMINATED.search(line):
-            told += 1
-    return script and not told
+    notice = lambda line: len(line) <= 240 and bool(_SCRIPTS.match(line))
+    if any(len(line) >= 60 and _ended(line) and not notice(line) and not _told(line) for line in rest):  # running text
+        return False
+    if fenced and not any(_ABOUT.search(x) for x in rest):  # nothing but fences: what is in them is the text
+        return residue([x for x in lines if not x.strip().startswith(("```", "~~~"))])
+    return any(notice(line) or _told(line) for line in rest)
 
 
 def page_residue(page: str) -> bool:

@@ -13,6 +13,8 @@ STORY = "The water board cleared the estimate for the old canal near the market
     "Fatal error: call to undefined function x() in /srv/a.php on line 2\nStack trace:", 'KeyError: "headline" while building page', "Session expired. Sign in again to continue.", f"{STORY}\nError: widget failed to load its text (code 549)",
     "यह पृष्ठ उपलब्ध नहीं है। कृपया मुख्य पृष्ठ पर जाएँ।", "পাতাটি খুঁজে পাওয়া যায়নি।", "صفحہ نہیں ملا۔", "Please turn on JavaScript to read this story.", "এই পাতা দেখতে জাভাস্ক্রিপ্ট চালু করুন।", "Loading…",
     f"{STORY}\nThe rest of this story could not be loaded. Turn on JavaScript to see it.",
+    f"{STORY}\nDear {{name}}, thank you.", f"{STORY}\n$NAME$", "Dear [First Name],", "Something went wrong. Please try again later.", "Oops! That page can't be found.", "HTTP 500", "503 Service Unavailable", "Just a moment...",
+    "```\n{{ lead }}\n```", f"{STORY}\n```\n{{{{ lead }}}}",
 ])
 def test_residue(body):
     assert residue.residue(body.split("\n"))
@@ -22,6 +24,9 @@ def test_residue(body):
     STORY, f"Access denied, read the board at the depot, though 20 people walked past it. {STORY}", f"Printed slips carried the words 'insert name here' in place of 12 voters. {STORY}",
     f"Teachers taught pupils to write their first lines of JavaScript at the new room. {STORY}", f"The website showed error 404 through Sunday, and forms had to be filled by hand. {STORY}",
     f"{STORY}\nPlease turn on JavaScript for the best view of this site.", "[TO POINT OUT AN ERROR WRITE TO DESK@A.EXAMPLE]", f"The template tutorial shows the placeholder '{{{{ name }}}}' in its first lesson. {STORY}", "", "   ",
+    "Warning: heavy rain is expected in the hills on Friday, the weather office said.", "Forbidden fruit is the name of the play that opened in the town on Monday.", "Just a moment of silence was kept for the miners on Monday.",
+    "The server is down for maintenance, villagers at the bank counter were told.", "Access denied: how the village lost its road", "yes yes yes yes", f"Reporters learn that a placeholder such as {{{{ name }}}} is replaced by the editor, the lesson said. {STORY}",
+    f"The lesson shows a template in three lines.\n```\n<h1>{{{{ title }}}}</h1>\n{{% include 'lead' %}}\n```\n{STORY}",
     "बैठक के शुरू में समिति ने समिति के काम की समिति से बात की और समिति को समिति का हिसाब दिया।",
 ])
 def test_no_residue(body):

@@ -2,7 +2,8 @@
 
 The method is a self-join by prefix. Texts without their cut marks are hashed by a prefix of fixed
 length; those that share one are sorted, and a text is a strict prefix of a longer copy exactly if
-the next distinct text in that order begins with it. Most cut texts have no longer copy in the
+the next distinct text in that order begins with it. Texts shorter than that length are hashed whole
+and joined with the prefixes that longer texts have at the lengths that occur (at most PREFIX - 1). Most cut texts have no longer copy in the
 corpus, so texts whose end is open (a mark of a cut, or a last line of running text without the end
 of a sentence) are found by the same pass over each text's end.
 """
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import cut
+from newsloom.session import cut, small
 
-#: Code points of the hashed prefix. Shorter texts are compared by hash on their own.
+#: Code points of the hashed prefix. Shorter texts are hashed whole, and longer ones at each of the lengths that these have.
 PREFIX = 40
 #: Texts that share a prefix are sorted in one task up to this number; more are range-sorted over many.
 CROWDED = 10_000
@@ -104,6 +105,16 @@ def _with_longer(texts: DataFrame) -> DataFrame:
     return scanned.where("NOT edge").select("body", F.col("next").alias("follows")).unionByName(over)
 
 
+def _short_with_longer(rows: DataFrame, bare: Column, short: DataFrame) -> DataFrame:
+    """`whole` and `follows` of each text under PREFIX characters that is a strict prefix of another one. rows has the texts, short the hashes and lengths of the short ones."""
+    lengths = sorted(r[0] for r in short.select("n").distinct().collect())  # at most PREFIX - 1
+    if not lengths:
+        return short.select("whole", F.lit("").alias("follows")).limit(0)
+    begins = F.array(*[F.when(F.length("body") > n, F.struct(F.lit(n).alias("n"), F.xxhash64(F.substring("body", 1, n)).alias("whole"), F.substring("body", n + 1, 1).alias("follows"))) for n in lengths])
+    longer = rows.select(bare.alias("body")).where(F.length("body") > lengths[0]).select(F.inline(F.array_compact(begins)))
+    return longer.join(small(short.distinct()), ["whole", "n"]).select("whole", "follows")
+
+
 def truncated(df: DataFrame, text: str, key: str) -> DataFrame:
     """key, by_copy, by_mark, by_end of each row whose text was cut.
 
@@ -115,11 +126,11 @@ def truncated(df: DataFrame, text: str, key: str) -> DataFrame:
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
     bare = body(F.col("t"))
     seen = rows.select(
-        "k", F.xxhash64("t").alias("text"), end_marks(F.col("t")).alias("x"), F.xxhash64(bare).alias("whole"),
+        "k", F.xxhash64("t").alias("text"), end_marks(F.col("t")).alias("x"), F.xxhash64(bare).alias("whole"), F.when(F.length(bare) < PREFIX, F.length(bare)).alias("size"),
         F.when(F.length(bare) >= PREFIX, F.xxhash64(F.substring(bare, 1, PREFIX))).alias("h"),
         F.col("t").rlike(r"[.!?।۔؟][\"'”’»)]*\s+\S").alias("before"),
     )
-    seen = cut(seen.where("x.worded").select("k", "text", "x.*", "whole", "h", "before"))  # read once; the texts stay where they are
+    seen = cut(seen.where("x.worded").select("k", "text", "x.*", "whole", "size", "h", "before"))  # read once; the texts stay where they are
     shared = seen.where("h IS NOT NULL").groupBy("h").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count("*").alias("n")).where("a != b").select("h", "n")
     rivals = seen.join(shared, "h").groupBy("text").agg(F.first("h").alias("h"), F.first("n").alias("n"))
     rivals = rows.withColumn("text", F.xxhash64("t")).join(rivals, "text").select(bare.alias("body"), "h", "n").distinct()
@@ -128,8 +139,9 @@ def truncated(df: DataFrame, text: str, key: str) -> DataFrame:
     crowd = rivals.where(F.col("n") > CROWDED).select("body")
     if not crowd.isEmpty():
         longer = longer.unionByName(_with_longer(crowd))
-    longer = longer.groupBy("body").agg(F.first("follows").alias("follows"))
     longer = longer.select(F.xxhash64("body").alias("whole"), "follows")
+    longer = longer.unionByName(_short_with_longer(rows, bare, seen.where("size > 0").select("whole", F.col("size").alias("n"))))
+    longer = longer.groupBy("whole").agg(F.max("follows").alias("follows"))
     held = seen.join(longer, "whole", "left")
     open_end = ~F.col("ended") & ~F.col("closing")
     inside = F.col("marked") | open_end | F.col("follows").rlike(r"[\p{L}\p{M}\p{N}]")

@@ -25,12 +25,13 @@ def test_prefixes_against_all_pairs(spark, monkeypatch):
     rng = random.Random(7)
     texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(41, 400))).strip() + "end" for _ in range(60)]
     texts += [rng.choice(texts)[: rng.randrange(41, 300)] for _ in range(120)] + ["z" * n for n in range(41, 120)]
+    texts += [t[:n] for t in texts[:40] for n in (1, 7, 26, 39)] + ["The minister opened the br", "The minister opened the bridge on Monday."]
     texts = sorted(set(t.strip() for t in texts))
     want = {t for t in texts if any(o != t and o.startswith(t) for o in texts)}
     df = spark.createDataFrame([(t,) for t in texts], "body string").repartition(5)
     assert {r.body for r in truncation._with_longer(df).collect()} == want
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     by_copy = {texts[r.doc_id] for r in truncation.truncated(docs, "text", "doc_id").where("by_copy").collect()}
-    assert by_copy == {t for t in want if len(t) >= truncation.PREFIX}
+    assert by_copy == {t for t in want if any(c.isalpha() for c in t)} and "The minister opened the br" in by_copy
     monkeypatch.setattr(truncation, "CROWDED", 1)  # all groups by range sort
     assert {texts[r.doc_id] for r in truncation.truncated(docs, "text", "doc_id").where("by_copy").collect()} == by_copy

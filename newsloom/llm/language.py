@@ -26,6 +26,10 @@ SAMPLE, ROUNDS = 3000, 3
 N = 5
 #: A sentence has at least so many words; shorter ones (a credit with a year) are none.
 WORDS = 4
+#: Words at which the mean of all classes counts in each of them.
+PRIOR = 1000.0
+#: A sentence of which training saw a smaller share of the words is in none of the languages; an unseen word of whose runs of three characters at least half were seen counts half.
+KNOWN = 0.25
 # Names and codes of the languages.
 NAMES = {
     "en": "en eng english",
@@ -40,7 +44,6 @@ LATIN_HINDI = "hi-Latn"
 _WORD = re.compile(r"[^\s\d!-/:-@\[-`{-~।॥۔،؛؟…“”‘’«»©–—​-‏﻿�]+")
 _SENTENCE = re.compile(r"[^\n]*?[.।॥۔?!؟]+[\"”’'»)\]]*(?=\s|$)", re.M)
 _ADDRESS = re.compile(r"\S+@\S+|https?://\S+|www\.\S+")
-_FLOOR = -14.0
 
 
 def label_code(label: Column) -> Column:
@@ -75,13 +78,18 @@ class Model:
             for word, n in counts.items():
                 for g in cls._grams(word):
                     grams[c][g] += min(n, 5)
+        classes = [c for c in classes if words[c]]  # one without training words has no scores
         tables = []
         for counts, least in ((words, 2), (grams, 2)):
-            total = {c: sum(counts[c].values()) + 1 for c in classes}
-            names = [w for w, n in sum(counts.values(), Counter()).items() if n >= least]
-            tables.append((names, [[np.log(max(counts[c][w], 0.02) / total[c]) for c in classes] for w in names]))
+            total = {c: sum(counts[c].values()) for c in classes}
+            names = [w for w, n in sum((counts[c] for c in classes), Counter()).items() if n >= least]
+            found = np.array([[counts[c][w] for c in classes] for w in names], np.float64).reshape(len(names), len(classes))
+            sizes = np.array([total[c] for c in classes], np.float64)
+            # what a class hasn't seen has the mean share of all classes, at the weight of PRIOR words: a small class gains nothing by its size
+            mean = (found / np.maximum(sizes, 1)).mean(axis=1, keepdims=True) if classes else found
+            tables.append((names, np.log((found + PRIOR * mean) / (sizes + PRIOR)).tolist()))
         (names, scores), (pieces, rest) = tables
-        table = np.array(scores + rest, np.float32).reshape(-1, len(classes))
+        table = np.array(scores + rest, np.float32).reshape(len(names) + len(pieces), len(classes))
         return cls(classes, {w: i for i, w in enumerate(names)}, {g: len(names) + i for i, g in enumerate(pieces)}, table)
 
     @staticmethod
@@ -91,15 +99,16 @@ class Model:
             for i in range(len(padded) - n + 1):
                 yield padded[i : i + n]
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The score of a word that training didn't see: of its longest known n-grams, at half a word's weight."""
+    def unseen(self, word: str) -> tuple[np.ndarray, float]:
+        """The score of a word that training didn't see: of its longest known n-grams, at half a word's weight; and how far it is known."""
         padded = f"^{word}$"
+        held = [padded[i : i + 3] in self.grams for i in range(len(padded) - 2)]
         for n in range(N, 0, -1):
             known = [at for i in range(len(padded) - n + 1) if (at := self.grams.get(padded[i : i + n])) is not None]
             if known:
                 scores = self.table[known].mean(axis=0)
-                return (scores - scores.max()) * 0.5
-        return np.zeros(len(self.classes), np.float32)
+                return (scores - scores.max()) * 0.5, 0.5 if 2 * sum(held) >= len(held) else 0.0
+        return np.zeros(len(self.classes), np.float32), 0.0
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -116,32 +125,32 @@ class Scorer:
 
     def reset(self) -> None:
         self.ids = dict(self.model.words)
-        self.rows = [self.model.table[: len(self.model.words)]]
-        self.table: np.ndarray | None = self.rows[0]
-        self.more: list[np.ndarray] = []
+        self.table = self.model.table[: len(self.model.words)]
+        self.known = np.ones(len(self.table), np.float32)
 
-    def scores(self, parts: list[list[str]]) -> np.ndarray:
-        """A row of scores for each list of words."""
+    def scores(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of scores for each list of words, and the share of its words that training saw."""
         if len(self.ids) > self.LIMIT:
             self.reset()
-        ids, get = [], self.ids.get
+        ids, get, more = [], self.ids.get, []
         for words in parts:
             for w in words:
                 at = get(w)
                 if at is None:
-                    at = self.ids[w] = len(self.table) + len(self.more)
-                    self.more.append(self.model.unseen(w))
+                    at = self.ids[w] = len(self.table) + len(more)
+                    more.append(self.model.unseen(w))
                 ids.append(at)
-        if self.more:
-            self.table = np.vstack([self.table, *[np.array(self.more, np.float32)]])
-            self.more = []
+        if more:
+            self.table = np.vstack([self.table, np.array([x for x, _ in more], np.float32).reshape(len(more), -1)])
+            self.known = np.append(self.known, np.array([x for _, x in more], np.float32))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        out = np.zeros((len(parts), len(self.model.classes)), np.float32)
+        out, known = np.zeros((len(parts), len(self.model.classes)), np.float32), np.zeros(len(parts), np.float32)
         if ids:
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            full = sizes > 0
-            out[full] = np.add.reduceat(self.table[np.array(ids)], starts[full])
-        return out
+            full, ids = sizes > 0, np.array(ids)
+            out[full] = np.add.reduceat(self.table[ids], starts[full])
+            known[full] = np.add.reduceat(self.known[ids], starts[full]) / sizes[full]
+        return out, known
 
 
 def _tokens(text: str) -> list[str]:
@@ -163,8 +172,8 @@ def fit(labelled: list[tuple[str, str]]) -> Model:
                 parts.append((LATIN_HINDI if code == "hi" and _latin(words) else code, words))
     model = Model.count(parts, classes)
     for _ in range(ROUNDS):
-        best = model.scorer().scores([words for _, words in parts]).argmax(axis=1) if parts else []
-        parts = [(classes[k], words) for k, (_, words) in zip(best, parts)]
+        best = model.scorer().scores([words for _, words in parts])[0].argmax(axis=1) if parts else []
+        parts = [(model.classes[k], words) for k, (_, words) in zip(best, parts)]
         model = Model.count(parts, classes)
     return model
 
@@ -184,9 +193,10 @@ def detect(df: DataFrame, text: str, keys: list[str], model: Model) -> DataFrame
     """keys, language, confidence, languages, segments of each row of df.
 
     language: that of most letters in whole sentences, or of all words where there is no whole
-    sentence; null for a null, empty or wordless text. confidence: 0 to 1, from the distance to the
+    sentence; null for a null, empty or wordless text and for one in a language that training has not
+    seen (less than KNOWN of its words), whose sentences count for none. confidence: 0 to 1, from the distance to the
     next language a word. languages: those with a whole sentence, sorted. segments: start, end (in
-    code points), language and confidence of each run of sentences; none without whole sentences.
+    code points), language (null: none of those in training) and confidence of each run of sentences; none without whole sentences.
     Repeated rows are judged each, long texts whole.
     """
     names = [f"k{i}" for i in range(len(keys))]
@@ -205,7 +215,7 @@ def detect(df: DataFrame, text: str, keys: list[str], model: Model) -> DataFrame
         return by.argmax(axis=1), 1 / share.sum(axis=1)
 
     model_languages = model.languages
-    codes = sorted(NAMES)
+    codes = [*sorted(NAMES), None]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Model(*pickle.loads(packed.value)).scorer()
@@ -233,8 +243,9 @@ def detect(df: DataFrame, text: str, keys: list[str], model: Model) -> DataFrame
                     parts.append(words)
                     owner.append(i)
                     spans.append(None)
-        scores = scorer.scores(parts)
+        scores, known = scorer.scores(parts)
         best, share = sure(scores, np.fromiter(map(len, parts), np.int64, len(parts)))
+        best = np.where(known < KNOWN, len(order), best)
         held: dict[int, list] = defaultdict(list)
         for i, span, k, p in zip(owner, spans, best.tolist(), share.tolist()):
             held[i].append((span, k, p))
@@ -244,7 +255,7 @@ def detect(df: DataFrame, text: str, keys: list[str], model: Model) -> DataFrame
             if not rows:
                 values: tuple = (None, None, [], [])
             elif rows[0][0] is None:
-                values = (codes[rows[0][1]], rows[0][2], [], [])
+                values = (codes[rows[0][1]], rows[0][2] if rows[0][1] < len(order) else None, [], [])
             else:
                 weight: dict[int, float] = defaultdict(float)
                 sum_p: dict[int, float] = defaultdict(float)
@@ -257,9 +268,10 @@ def detect(df: DataFrame, text: str, keys: list[str], model: Model) -> DataFrame
                         segments[-1][3].append(p)
                     else:
                         segments.append([a, b, k, [p]])
-                top = max(sorted(weight), key=weight.__getitem__)
+                told = sorted(k for k in weight if k < len(order))
+                top = max(told, key=weight.__getitem__, default=len(order))
                 values = (
-                    codes[top], sum_p[top] / weight[top], sorted(codes[k] for k in weight),
+                    codes[top], sum_p[top] / weight[top] if told else None, [codes[k] for k in told],
                     [{"start": a, "end": b, "language": codes[k], "confidence": sum(p) / len(p)} for a, b, k, p in segments],
                 )
             for name, x in zip(out, values):

@@ -67,3 +67,35 @@ def test_labels(spark):
 
 def test_training_without_labels(spark):
     assert language.train(spark.createDataFrame([], "t string, l string, k bigint"), "t", "l", "k").words == {}
+
+
+def _fit(sizes):
+    rng = random.Random(2)
+    return language.fit([(lang.split("-")[0], " ".join(sentence(lang, rng) for _ in range(4))) for lang, n in sizes.items() for _ in range(n)])
+
+
+def _judged(spark, fitted, n=60):
+    rng = random.Random(5)
+    rows = [(lang.split("-")[0], sentence(lang, rng)) for lang in WORDS for _ in range(n)]
+    return language.detect(spark.createDataFrame(rows, "want string, text string"), "text", ["want"], fitted).collect()
+
+
+def test_language_without_training_rows(spark):
+    """A class without rows wins nothing; a text in a language that training hasn't seen has none."""
+    fitted = _fit({"en": 300, "hi": 300, "ne": 300, "bn": 300, "hi-Latn": 300})
+    out = _judged(spark, fitted)
+    assert all(r.language == r.want for r in out if r.want != "ur")
+    assert all(r.language is None and r.confidence is None and r.languages == [] and r.segments[0].language is None for r in out if r.want == "ur")
+    french = [("le conseil municipal inaugure demain matin une passerelle derrière les halles.",), ("les habitants veulent savoir pourquoi rien ne bouge depuis septembre.",)]
+    assert [r.language for r in language.detect(spark.createDataFrame(french, "text string").withColumn("k", F.lit(1)), "text", ["k"], fitted).collect()] == [None, None]
+
+
+def test_skewed_training(spark):
+    """A thousand times as many rows of one language as of another."""
+    out = _judged(spark, _fit({"en": 3000, "hi": 300, "ne": 30, "bn": 10, "ur": 3, "hi-Latn": 3}))
+    assert sum(r.language == r.want for r in out) >= 0.99 * len(out)
+
+
+def test_no_training_at_all(spark):
+    out = language.detect(spark.createDataFrame([(1, "the council opened a new bridge.")], "k int, text string"), "text", ["k"], language.fit([])).collect()
+    assert [(r.language, r.languages) for r in out] == [(None, [])]

@@ -100,7 +100,7 @@ def _filler(line: str) -> bool:
     if _FILLER.match(line) or ("XXX" in line and _GAPS.match(line)):
         return True
     first = line.split(None, 12)
-    if len(first) < 8:
+    if len(first) < 6:
         return False
     few = len(set(first[:12])) <= 10
     if not few and not any(w.strip(".,").lower() in _LOREM for w in first[:3]):  # a filler line has no other words

@@ -1,9 +1,10 @@
 """Page furniture, and lines repeated across a source.
 
-Furniture (site template removal): each block of a page is a subtree; its hash is counted a host
-over distinct pages, once where articles stand and once where menus, notices and hidden text stand.
-Subtrees that recur across many pages of a host, or that stand outside the article nearly always,
-are deleted; of the rest the running text of the element with the main heading is kept.
+Furniture (site template removal): each element of a page is a subtree; its hash is made bottom-up of
+its name, its class, its texts and the hashes of the elements in it, and counted a host over distinct
+pages. Subtrees that recur across many pages of a host are deleted whole, with all text in them.
+What is left is of one page: the article, and the teasers, captions, credits and comments that change
+from page to page; of it the running text of the element with the main heading is kept.
 
 Repeated lines: a source's lines are cut into chunks whose ends are set by a rolling hash of their
 letters, chunks are counted by distinct records of the source, and a line all of whose chunks recur
@@ -16,9 +17,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from newsloom.session import cut, small
 LINE_RECORDS, LINE_SHARE = 4, 0.1
 #: A subtree is a host's template from so many of its pages, and from such a share of them.
 PAGES, PAGE_SHARE = 3, 0.05
-#: A subtree seen so often outside articles, and so many times as often as inside, is furniture anywhere.
+#: A text that pages of any host show outside running text so often, and so many times as often as inside, is furniture in extracted lines too, whose place isn't known.
 OUTSIDE, OUTSIDE_TIMES = 3, 4
 WINDOW, MASK = 8, 31
 _PRIME = np.uint32(0x01000193)
@@ -128,37 +129,95 @@ def _not_word():
 
 def para_key(text: str) -> str:
     """The first 16 digits of the MD5 of a paragraph's letters, marks and numbers in lower case."""
-    return _keys(text)[0]
+    return hashlib.md5(_not_word().sub("", text.lower()).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 _NUMBER = re.compile(r"\d+")
+_ENDED = re.compile(r"[.!?।۔؟…][\"'”’»)]*\s*$")
+
+
+class Page(NamedTuple):
+    hashes: list[int]  # of the subtrees: first one for each text, then one for each element around a text
+    keys: list[str]  # para_key of each text
+    loose: list[int]  # hash of each text with any number for any other
+    running: list[bool]  # whether a text may be running text of the article
+    paths: list[list[int]]  # the subtrees that hold each text: numbers in hashes
+
 
+def _digest(said: str) -> int:
+    import xxhash
 
-def _keys(text: str) -> tuple[str, str]:
-    """para_key, and a hash of the same text with any number for any other: that of the subtree."""
-    text = _not_word().sub("", text.lower())
-    key = hashlib.md5(text.encode()).hexdigest()[:16]
-    bare = _NUMBER.sub("0", text)
-    return key, key if bare == text else hashlib.md5(bare.encode()).hexdigest()[:16]
+    return xxhash.xxh3_64_intdigest(said) - (1 << 63)
 
 
-def _page_blocks(page: str) -> list[tuple]:
-    """Keys of each block of a page, and whether it may be running text of the article."""
-    found = html.blocks(page)
+def _leaf(key: str, text: str, running: bool) -> tuple[int, int]:
+    """The hash of a text alone, and that with any number for any other; outside running text the second stands for both."""
+    own = _digest(key)
+    loose = _digest(para_key(_NUMBER.sub("0", text))) if _NUMBER.search(text) else own
+    return own if running else loose, loose
+
+
+def page_subtrees(page: str) -> Page:
+    """The subtrees of a page of HTML."""
+    found, elements = html.tree(page)
     held = set(html.article(found))
-    return [(*_keys(b.text), k in held and html.prose(b)) for k, b in enumerate(found)]
+    running = [k in held and html.prose(b) for k, b in enumerate(found)]
+    keys = [para_key(b.text) for b in found]
+    leaves = [_leaf(key, b.text, r) for key, b, r in zip(keys, found, running)]
+    hashes = [h for h, _ in leaves]
+    inside: dict[int, list[tuple[int, int]]] = {}  # of each element: the place of each of its texts and elements, and their hashes
+    above: dict[int, int] = {}
+    for k, b in enumerate(found):
+        inside.setdefault(b.element, []).append((k, hashes[k]))
+        chain = (*b.parents, b.element)
+        above.update(zip(chain[1:], chain))
+    number: dict[int, int] = {}
+    for e in sorted({e for b in found for e in (*b.parents, b.element)}, reverse=True):  # an element's number is above that of the one around it
+        parts = sorted(inside[e])
+        number[e] = len(hashes)
+        hashes.append(_digest(f"{elements[e]}{[h for _, h in parts]}"))
+        if e in above:
+            inside.setdefault(above[e], []).append((parts[0][0], hashes[-1]))
+    paths = [[k, *(number[e] for e in (*b.parents, b.element))] for k, b in enumerate(found)]
+    return Page(hashes, keys, [h for _, h in leaves], running, paths)
+
+
+def line_subtrees(body: str) -> Page:
+    """The same for extracted text, where each line is a text without an element."""
+    lines = [line for line in body.split("\n") if line.strip()]
+    keys = [para_key(line) for line in lines]
+    running = [bool(_ENDED.search(line)) and line.strip().count(" ") >= 2 for line in lines]
+    leaves = [_leaf(*x) for x in zip(keys, lines, running)]
+    return Page([h for h, _ in leaves], keys, [h for _, h in leaves], running, [[k] for k in range(len(lines))])
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """src, row_id, host, page, uid (of a row with its text), markup, hashes, texts (key, loose, running, path) of each page; see Page."""
+    rows = pages.where("text IS NOT NULL AND text != ''")
+    rows = rows.select("src", "row_id", F.coalesce("host", F.lit("")).alias("host"), F.xxhash64("page").alias("page"), F.xxhash64("src", "row_id", "text").alias("uid"), "markup", "text")
+    kind = pa.list_(pa.struct([("key", pa.string()), ("loose", pa.int64()), ("running", pa.bool_()), ("path", pa.list_(pa.int32()))]))
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = [page_subtrees(t) if m else line_subtrees(t) for t, m in zip(batch.column(6).to_pylist(), batch.column(5).to_pylist())]
+                texts = [[{"key": k, "loose": h, "running": r, "path": p} for k, h, r, p in zip(x.keys, x.loose, x.running, x.paths)] for x in found]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([x.hashes for x in found], pa.list_(pa.int64())), pa.array(texts, kind)], ["src", "row_id", "host", "page", "uid", "markup", "hashes", "texts"])
 
-_ENDED = re.compile(r"[.!?।۔؟…][\"'”’»)]*\s*$")
+    return rows.mapInArrow(scan, "src string, row_id bigint, host string, page bigint, uid bigint, markup boolean, hashes array<bigint>, texts array<struct<key: string, loose: bigint, running: boolean, path: array<int>>>")
 
 
-def _line_blocks(body: str) -> list[tuple]:
-    """The same for extracted text, where each line is a block."""
-    found = []
-    for line in body.split("\n"):
-        if line.strip():
-            found.append((*_keys(line), bool(_ENDED.search(line)) and line.strip().count(" ") >= 2))
-    return found
+def without_templates(found: DataFrame) -> DataFrame:
+    """src, row_id, page, markup, texts (key, loose, running, gone: whether a recurring subtree holds it); found comes from subtrees."""
+    sizes = small(found.groupBy("host").agg(F.count_distinct("page").alias("pages")))
+    nodes = found.select("host", "page", "uid", F.posexplode("hashes").alias("n", "hash"))
+    often = nodes.groupBy("host", "hash").agg(F.count_distinct("page").alias("on")).where(F.col("on") >= PAGES)
+    often = often.join(sizes, "host").where(F.col("on") >= PAGE_SHARE * F.col("pages")).select("host", "hash")
+    gone = nodes.join(often, ["host", "hash"], "left_semi").groupBy("uid").agg(F.collect_set("n").alias("gone"))  # at most as many as a page has subtrees
+    lost = lambda t: F.coalesce(F.arrays_overlap(t["path"], F.col("gone")), F.lit(False))
+    texts = F.transform("texts", lambda t: F.struct(t["key"].alias("key"), t["loose"].alias("loose"), t["running"].alias("running"), lost(t).alias("gone")))
+    return found.join(gone, "uid", "left").select("src", "row_id", "page", "markup", texts.alias("texts"))
 
 
 def main_paragraphs(pages: DataFrame) -> DataFrame:
@@ -168,27 +227,16 @@ def main_paragraphs(pages: DataFrame) -> DataFrame:
     (whether text is HTML or extracted lines). Null and empty texts give no rows; a page delivered
     twice counts once for its template and is reported under each of its rows.
     """
-    rows = pages.where("text IS NOT NULL AND text != ''").select("src", "row_id", F.coalesce("host", F.lit("")).alias("host"), F.xxhash64("page").alias("page"), "text", "markup")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: dict[str, list] = {"at": [], "key": [], "tree": [], "inside": []}
-            for i, (text, markup) in enumerate(zip(batch["text"], batch["markup"])):
-                for block in dict.fromkeys(_page_blocks(text) if markup else _line_blocks(text)):
-                    for name, x in zip(out, (i, *block)):
-                        out[name].append(x)
-            new = batch[["src", "row_id", "host", "page", "markup"]].iloc[out["at"]].reset_index(drop=True)
-            new["key"], new["tree"], new["inside"] = pd.Series(out["key"], dtype=object), pd.Series(out["tree"], dtype=object), np.array(out["inside"], bool)
-            yield new
-
-    found = cut(rows.mapInPandas(scan, "src string, row_id bigint, host string, page bigint, markup boolean, key string, tree string, inside boolean"))
-    sizes = small(found.groupBy("host").agg(F.count_distinct("page").alias("pages")))
-    page = lambda where: F.count_distinct(F.when(where, F.col("page")))
-    shown, inside = F.col("markup"), F.col("inside")  # where a line of extracted text stood isn't known
-    site = found.groupBy("host", "key").agg(F.count_distinct("page").alias("on")).where(F.col("on") >= PAGES)
-    site = site.join(sizes, "host").where(F.col("on") >= PAGE_SHARE * F.col("pages")).select("host", "key")
-    counted = found.where(shown).groupBy("host", "tree").agg(page(inside).alias("within"), page(~inside).alias("without"))
-    anywhere = counted.groupBy("tree").agg(F.sum("within").alias("within"), F.sum("without").alias("without"))
-    anywhere = anywhere.where((F.col("without") >= OUTSIDE) & (F.col("without") >= OUTSIDE_TIMES * F.col("within"))).select("tree")
-    kept = found.where("inside").join(site, ["host", "key"], "left_anti").join(anywhere, "tree", "left_anti")
+    texts = without_templates(cut(subtrees(pages))).select("src", "row_id", "page", "markup", F.inline("texts")).withColumn("kept", F.col("running") & ~F.col("gone"))
+    shown = texts.where("markup").groupBy("loose", "page").agg(F.max("kept").cast("int").alias("kept"))
+    shown = shown.groupBy("loose").agg(F.sum("kept").alias("within"), (F.count("*") - F.sum("kept")).alias("without"))
+    furniture = shown.where((F.col("without") >= OUTSIDE) & (F.col("without") >= OUTSIDE_TIMES * F.col("within"))).select("loose")
+    kept = texts.where("kept AND markup").unionByName(texts.where("kept AND NOT markup").join(furniture, "loose", "left_anti").select(*texts.columns))
     return kept.select("src", "row_id", F.col("key").alias("para_key")).distinct()
+
+
+def template_shares(pages: DataFrame) -> DataFrame:
+    """src, texts, deleted (by recurring subtrees), kept (of the rest, as running text): how much of the pages each step takes."""
+    held = without_templates(cut(subtrees(pages))).select("src", F.inline("texts"))
+    count = lambda c: F.count(F.when(c, 1))
+    return held.groupBy("src").agg(F.count("*").alias("texts"), count(F.col("gone")).alias("deleted"), count(F.col("running") & ~F.col("gone")).alias("kept"))

@@ -40,7 +40,13 @@ def _class(attributes: str) -> str:
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. Broken markup gives the blocks that can be read."""
+    return tree(page)[0]
+
+
+def tree(page: str) -> tuple[list[Block], list[str]]:
+    """The text blocks of a page in order, and the name and class of each element by its number."""
     found: list[Block] = []
+    elements = [""]
     stack: list[tuple] = [("", 0, frozenset(), False, "")]  # name, number, furniture, hidden, class
     parts: list[str] = []
     numbers, link, in_link, breaks, at = 0, 0, 0, 0, 0
@@ -105,16 +111,15 @@ def blocks(page: str) -> list[Block]:
             numbers += 1
             _, _, inside, hidden, _ = stack[-1]
             attributes = m.group(3)
-            stack.append((
-                name, numbers, inside | {name} if name in FURNITURE else inside,
-                hidden or bool(attributes and _HIDDEN.search(attributes)), _class(attributes) if attributes else "",
-            ))
+            cls = _class(attributes) if attributes else ""
+            elements.append(f"{name}.{cls}")
+            stack.append((name, numbers, inside | {name} if name in FURNITURE else inside, hidden or bool(attributes and _HIDDEN.search(attributes)), cls))
         else:
             flush()
     if not raw:
         said(page[at:])
     flush()
-    return found
+    return found, elements
 
 
 def container(found: list[Block], widen: bool = True) -> set[int] | None:

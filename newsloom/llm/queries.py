@@ -55,8 +55,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @llm.query()
 def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document's language and its segments, with confidence."""
-    return language.detect(table(spark, folder, "documents"), "text", ["doc_id"], _model(spark, folder))
+    """Language and segments, with confidence, of each document, article and test text."""
+    return language.detect(_labelled(spark, folder), "text", ["src", "row_id"], _model(spark, folder))
 
 
 @llm.query()
@@ -95,6 +95,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_paragraphs(_pages(spark, folder)).join(p5_found(spark, folder), ["src", "row_id"], "left_anti")
 
 
+@llm.query()
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts each table's pages hold, how many go with recurring subtrees, and how many of the rest are kept as running text."""
+    return boilerplate.template_shares(_pages(spark, folder))
+
+
 @llm.query()
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """src, row_id: rows with residue in place of an article or of a part of it."""

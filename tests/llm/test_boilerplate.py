@@ -68,6 +68,28 @@ def test_main_paragraphs(spark):
     assert boilerplate.main_paragraphs(bare).count() == 0
 
 
+def test_recurring_subtrees_go_whole(spark):
+    """A box of two sentences that recurs on a host goes whole though it stands in the article; the same sentences on another host stay."""
+    box = "<div class='box'><p>Our paper has told this town its news since 1950.</p><p>Write to the desk with what you know.</p></div>"
+    story = lambda n: f"<p>First paragraph number {n} of the story told here.</p>"
+    rows = [("pages", n, "a.example", f"u{n}", page(story(n) + box, n), True) for n in range(5)]
+    rows += [("pages", 10 + n, f"h{n}.example", f"v{n}", page(story(n) + box, n), True) for n in range(5)]
+    df = spark.createDataFrame(rows, "src string, row_id bigint, host string, page string, text string, markup boolean")
+    held = boilerplate.without_templates(boilerplate.subtrees(df)).collect()
+    left = {r.row_id: {t.key for t in r.texts if not t.gone} for r in held}
+    words = {boilerplate.para_key(x) for x in ("Our paper has told this town its news since 1950.", "Write to the desk with what you know.", "All rights are reserved here.", "We use cookies on this site. Accept.", "Home")}
+    assert all(not left[n] & words for n in range(5)) and all(words <= left[10 + n] for n in range(5))
+    shares = boilerplate.template_shares(df).first()
+    assert shares.deleted == sum(t.gone for r in held for t in r.texts) >= 5 * 7 and shares.kept == 5 + 5 * 3 and shares.texts == sum(len(r.texts) for r in held)
+
+
+def test_subtree_hashes():
+    one, two = (boilerplate.page_subtrees(f"<div class='a'><ul><li>x 1</li><li>y</li></ul></div><p>{t}</p>") for t in ("One ends here now.", "Two ends here now."))
+    assert set(one.hashes) & set(two.hashes) >= {one.hashes[i] for i in (one.paths[0][0], *one.paths[0][2:])}  # the list and all around it, but for the whole page
+    other = boilerplate.page_subtrees("<div class='b'><ul><li>x 2</li><li>y</li></ul></div>")
+    assert other.hashes[other.paths[0][0]] == one.hashes[one.paths[0][0]] and len(set(other.hashes) & set(one.hashes)) == 5  # any number for any other; another class is another subtree
+
+
 def test_blocks_of_broken_markup():
     assert [b.text for b in html.blocks("<p>one<p>two<br>three<br><br>four</div></td><!-- x --><script>if(a<b)</script><p>caf&eacute; <b>b</b>old")] == ["one", "two three", "four", "café bold"]
     assert html.blocks("") == [] and html.blocks("<script>never closed <p>x</p>") == []

@@ -65,3 +65,41 @@ def ist_midnight(instant: Column, days_before: int = 0) -> Column:
     """Midnight in India of that day, some days before."""
     local = F.date_trunc("day", F.from_utc_timestamp(instant, "Asia/Kolkata"))
     return F.to_utc_timestamp(local - F.expr(f"INTERVAL {days_before} DAYS"), "Asia/Kolkata")
+
+
+# Names of months in a short date.
+_SHORT = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def format_stamp(instant: Column) -> Column:
+    """Day, short month and minute of an instant in India, as "03 Mar, 09:05"; null stays null."""
+    local = F.from_utc_timestamp(instant, "Asia/Kolkata")
+    month = F.element_at(F.array(*[F.lit(m) for m in _SHORT]), F.month(local))
+    return F.concat(F.lpad(F.dayofmonth(local).cast("string"), 2, "0"), F.lit(" "), month, F.lit(", "), F.date_format(local, "HH:mm"))
+
+
+def retry_after(value: Column, now: Column, most: int = 3600) -> Column:
+    """Seconds to wait by a header of seconds or of an HTTP date, from 0 to `most`; null for anything else. now: a timestamp."""
+    said = F.trim(value)
+    seconds = F.when(said.rlike(r"^\d{1,9}$"), said.cast("bigint"))
+    bare = F.regexp_extract(said, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    at = F.when(bare != "", F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss")))
+    left = F.ceil((F.unix_micros(F.to_utc_timestamp(at, F.current_timezone())) - F.unix_micros(now)) / 1_000_000)
+    return F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(seconds, left))) * F.when(seconds.isNotNull() | left.isNotNull(), 1)
+
+
+def error_decision(error: Column) -> Column:
+    """What follows from an error without a response: another try."""
+    return F.when(F.coalesce(error, F.lit("")) != "", "retry")
+
+
+def hours_ago(then: Column, now: Column) -> Column:
+    """time_ago() with hours up to two days instead of "yesterday"."""
+    s = now - then
+    return F.when((s >= 86_400) & (s < 172_800), F.concat(F.floor(s / 3600).cast("string"), F.lit("h ago"))).otherwise(time_ago(then, now))
+
+
+def named_together(text: Column, one: list[str], other: list[str]) -> Column:
+    """Whether a text has a word of each of two lists, at word limits, in any letter case."""
+    has = lambda words: text.rlike("(?iu)(?<![\\p{L}\\p{M}\\p{N}])(?:" + "|".join(words) + ")(?![\\p{L}\\p{M}\\p{N}])")
+    return F.coalesce(has(one) & has(other), F.lit(False))

@@ -107,10 +107,13 @@ def conciseness(c: Column) -> Column:
     return F.when(n.between(40, 110), 15).when(n.between(25, 39) | n.between(111, 140), 8).otherwise(0)
 
 
-def clickbait(c: Column) -> Column:
-    """All capitals over 15 characters, or three marks of exclamation and question."""
+def clickbait(c: Column, markers: tuple[str, ...] = ()) -> Column:
+    """All capitals over 15 characters, three marks of exclamation and question, or one of the caller's marker phrases."""
     marks = F.length(c) - F.length(F.regexp_replace(c, "[!?]", ""))
-    return ((F.upper(c) == c) & (F.lower(c) != c) & (F.length(c) > 15)) | (marks >= 3)
+    said = ((F.upper(c) == c) & (F.lower(c) != c) & (F.length(c) > 15)) | (marks >= 3)
+    for marker in markers:
+        said = said | F.lower(c).contains(marker.lower())
+    return said
 
 
 def slug(c: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions import text
+from newsloom.functions import languages, text
 from newsloom.session import cut
 
 # Weights of the parts of a pair's score, and what a missing value counts.
@@ -35,24 +35,36 @@ def pair_score(a: str = "a", b: str = "b") -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def with_bridges(pairs: DataFrame, a: str = "a", b: str = "b", headline: str = "headline") -> DataFrame:
+    """Scored pairs with what their headlines share across scripts added to the entities of both: words of one in Devanagari that sound like names of the other in Latin letters.
+
+    a and b are structs with entities and headline.
+    """
+    bridge = lambda x, y: languages.bridge_words(languages.hindi_nouns(F.col(f"{x}.{headline}")), text.latin_nouns(F.col(f"{y}.{headline}")))
+    shared = F.transform(F.array_union(bridge(a, b), bridge(b, a)), lambda w: F.concat(F.lit("xl:"), w))
+    none = F.array().cast("array<string>")
+    held = pairs.withColumn("__nl_shared", shared)
+    more = lambda c: F.col(c).withField("entities", F.array_union(F.coalesce(F.col(f"{c}.entities"), none), F.col("__nl_shared")))
+    return held.withColumns({a: more(a), b: more(b)}).drop("__nl_shared")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """id, component (its lowest id) of each end of an edge a, b.
 
     Each round every vertex takes the lowest label among its neighbours and then the label of that
-    label, which halves the distance to the lowest, so rounds grow with the logarithm of a chain.
+    label, which halves the distance to the lowest, so rounds grow with the logarithm of a chain. Labels
+    only fall, so the rounds end.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"))
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("n"))
         stepped = labels.join(seen, labels["id"] == seen["a"]).select("id", "c", F.least("c", "n").alias("n"))
         jumped = stepped.join(labels.select(F.col("id").alias("n"), F.col("c").alias("nn")), "n", "left")
         new = cut(jumped.select("id", F.col("c").alias("old"), F.least("n", F.coalesce("nn", "n")).alias("c")))
-        moved = not new.where("old != c").isEmpty()
         labels = new.select("id", "c")
-        if not moved:
+        if new.where("old != c").isEmpty():
             return labels.withColumnRenamed("c", "component")
-    raise RuntimeError(f"labels still move after {most_rounds} rounds")
 
 
 def assign(pairs: DataFrame, key: str, story: str, score: str, threshold: float = THRESHOLD) -> DataFrame:

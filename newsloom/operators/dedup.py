@@ -32,12 +32,12 @@ def exact_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     return held.select("id", F.coalesce("of0", "of1", "of2").alias("duplicate_of"), rule.alias("rule")).where("rule IS NOT NULL")
 
 
-def batch_duplicates(df: DataFrame, most_rounds: int = 50) -> DataFrame:
+def batch_duplicates(df: DataFrame) -> DataFrame:
     """id, duplicate_of: rows taken in order of id, each compared with the kept rows before it.
 
     A duplicate's own keys never make a later row a duplicate, so the result is a fixpoint: a row
     is kept if each earlier row that shares a key with it is a duplicate. Each round settles the
-    rows whose earlier partners are all settled; chains are as long as rounds, not as rows.
+    rows whose earlier partners are all settled, at least the lowest open one, so the rounds end.
     Links between rows of one key are followed from one to the next kept row, not listed as pairs.
     """
     rows = df.select("id", F.explode(F.array_compact(F.array(
@@ -49,17 +49,15 @@ def batch_duplicates(df: DataFrame, most_rounds: int = 50) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     all_ = cut(rows.join(shared, "key", "left_semi"))
     open_, owners = all_, None
-    for _ in range(most_rounds):
+    while not open_.isEmpty():
         held = open_.join(open_.groupBy("key").agg(F.min("id").alias("first")), "key")
         kept = held.groupBy("id").agg(F.min(F.col("first") == F.col("id")).alias("kept")).where("kept").select("id")  # first in each of its keys
         now = cut(held.join(kept, "id", "left_semi").select("key", F.col("id").alias("owner")))
         owners = now if owners is None else cut(owners.unionByName(now))
         settled = open_.join(now.select("key"), "key", "left_semi").select("id").distinct()  # the kept ones and their duplicates
         open_ = cut(open_.join(settled, "id", "left_anti"))
-        if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"chains of duplicates are longer than {most_rounds}")
+    if owners is None:
+        return df.select("id", F.col("id").alias("duplicate_of")).limit(0)
     # kept rows share no key, so each key has one owner at most
     named = all_.join(owners, "key").where("id > owner").groupBy("id").agg(F.min(F.struct("rule", "owner")).alias("m"))
     return named.select("id", F.col("m.owner").alias("duplicate_of"))

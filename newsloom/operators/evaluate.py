@@ -1,6 +1,8 @@
 """Quality of labels and of clusters."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +36,30 @@ def cluster_pairs(df: DataFrame, truth: str, said: str) -> DataFrame:
     held = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy().pivot("name", list(names)).agg(F.first("v"))
     ratio = lambda d: F.when(F.col(d) > 0, F.round(F.col("both") / F.col(d), 6)).otherwise(1.0)
     return held.select("truth", "said", "both", ratio("said").alias("precision"), ratio("truth").alias("recall"))
+
+
+def accuracy(df: DataFrame, truth: str, said: str) -> DataFrame:
+    """right, n, accuracy over rows with a truth; 1 without any."""
+    held = df.where(F.col(truth).isNotNull()).agg(F.count(F.when(F.col(truth) == F.col(said), 1)).alias("right"), F.count("*").alias("n"))
+    return held.withColumn("accuracy", F.when(F.col("n") > 0, F.round(F.col("right") / F.col("n"), 3)).otherwise(1.0))
+
+
+def binary(df: DataFrame, truth: Column, said: Column) -> DataFrame:
+    """precision and recall of a yes-or-no answer, to three places; an empty denominator counts as 1."""
+    count = lambda c: F.count(F.when(c, 1))
+    ratio = lambda d: F.when(F.col(d) > 0, F.round(F.col("both") / F.col(d), 3)).otherwise(1.0)
+    held = df.agg(count(truth & said).alias("both"), count(said).alias("said"), count(truth).alias("truth"))
+    return held.select(ratio("said").alias("precision"), ratio("truth").alias("recall"))
+
+
+def regressions(old: DataFrame, new: DataFrame, drop: float = 0.15, support: int = 2) -> DataFrame:
+    """label, was, is: labels of at least `support` rows in new whose F1 fell by more than `drop`; a label that new hasn't got fell to 0."""
+    held = old.select("label", F.col("f1").alias("was"), F.col("support").alias("n_old")).join(new.select("label", F.col("f1").alias("is"), F.col("support").alias("n")), "label", "left")
+    held = held.withColumns({"is": F.coalesce("is", F.lit(0.0)), "n": F.coalesce("n", "n_old")})
+    return held.where((F.col("n") >= support) & (F.col("was") - F.col("is") > drop)).select("label", "was", "is")
+
+
+def report(parts: dict[str, DataFrame], least: float = 0.9) -> DataFrame:
+    """metric, value, passed: the one row of each part, its columns as metrics named part.column."""
+    rows = [df.select(F.explode(F.array(*[F.struct(F.lit(f"{name}.{c}").alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("m")).select("m.*") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows).withColumn("passed", F.col("value") >= least)

@@ -86,6 +86,55 @@ def confidence(title: Column, from_tag: Column, published: Column, description:
     return F.when(F.coalesce(n, F.lit(0)) < LEAST, "failed").otherwise(band)
 
 
+# The references that pages use most.
+_REFERENCES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
+def _shown(c: Column) -> Column:
+    """Text as shown: tags dropped, the common references resolved, space collapsed."""
+    c = F.regexp_replace(c, r"(?s)<[^>]*>", "")
+    for said, shown in _REFERENCES.items():
+        c = F.replace(c, F.lit(said), F.lit(shown))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def paragraphs(page: Column, least: int = 25) -> Column:
+    """The p elements of a page with at least so many characters, as shown, in order."""
+    bare = F.regexp_replace(page, r"(?is)<(script|style|noscript|nav|footer|aside|header|form)\b.*?</\1\s*>", " ")
+    return F.filter(F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p\s*>|<p[\s>]|$)"), 1), _shown), lambda p: F.length(p) >= least)
+
+
+_ADAPTERS: dict[str, str] = {}
+
+
+def register_adapter(site: str, pattern: str) -> None:
+    """For pages of a site the body is what the first group of a pattern holds; a pattern without a group is refused."""
+    import re
+
+    if re.compile(pattern).groups != 1:
+        raise ValueError("a pattern has one group")
+    _ADAPTERS[site.lower()] = pattern
+
+
+def bodies(df: DataFrame, page: str, site: str) -> DataFrame:
+    """df with body and stage of each page: linked data, else the paragraphs of its article element, else all its paragraphs; an adapter of its site where that gives more.
+
+    A stage of fewer than LEAST characters gives nothing; no stage: null. Stages: ld, article, page, adapter.
+    """
+    c = F.col(page)
+    joined = lambda x: F.array_join(paragraphs(x), "\n")
+    stages = {"ld": linked_data(c)["body"], "article": joined(F.regexp_extract(c, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)), "page": joined(c)}
+    held = F.coalesce(*[F.when(F.length(b) >= LEAST, F.struct(b.alias("body"), F.lit(n).alias("stage"))) for n, b in stages.items()])
+    own = F.lit(None).cast("string")
+    for name, pattern in _ADAPTERS.items():
+        cut_ = F.regexp_extract(c, pattern, 1)
+        text_ = F.when(cut_.rlike(r"(?i)<p[\s>]"), joined(cut_)).otherwise(_shown(cut_))
+        own = F.when(F.lower(F.col(site)) == name, text_).otherwise(own)
+    df = df.withColumn("__nl_b", held).withColumn("__nl_own", own)
+    longer = (F.length("__nl_own") >= LEAST) & (F.length("__nl_own") > F.coalesce(F.length("__nl_b.body"), F.lit(0)))
+    return df.withColumns({"body": F.when(longer, F.col("__nl_own")).otherwise(F.col("__nl_b.body")), "stage": F.when(longer, "adapter").otherwise(F.col("__nl_b.stage"))}).drop("__nl_b", "__nl_own")
+
+
 def metadata(df: DataFrame, page: str) -> DataFrame:
     """df with meta: title, title_from_tag, description, author, published, canonical, titles and visible of each page, from linked data, then meta tags, then plain tags."""
     c = F.col(page)

@@ -19,3 +19,9 @@ def release(df: DataFrame, now: Column, held: str, free: str, seconds: int) -> D
     """Rows in the state `held` for more than some seconds are put back to `free`."""
     late = (F.col("status") == held) & (F.unix_micros(now) - F.unix_micros("updated_at") > seconds * 1_000_000)
     return df.withColumn("status", F.when(late, free).otherwise(F.col("status")))
+
+
+def report(df: DataFrame, now: Column) -> DataFrame:
+    """One row: deleted (what purge() takes), remaining, exempt (kept for a reason)."""
+    gone = F.coalesce(F.col("expires_at") <= now, F.lit(False))
+    return df.agg(F.count(F.when(gone, 1)).alias("deleted"), F.count(F.when(~gone, 1)).alias("remaining"), F.count("keep_reason").alias("exempt"))

@@ -34,7 +34,7 @@ def timeline(stories: DataFrame, articles: DataFrame, now: Column, days: int = 6
     seen = articles.where((F.coalesce("published_us", "seen_us") <= micros) & (F.col("seen_us") <= micros))
     recent = rollup(seen).where(F.col("latest_report") >= F.unix_micros(codes.ist_midnight(now, days)))
     held = stories.select("story_id", "canonical_title", "primary_category", "event_type").join(recent, "story_id")
-    return held.orderBy(F.col("latest_report").desc(), F.col("story_id").desc()).offset((page - 1) * size).limit(size)
+    return held.orderBy(F.col("latest_report").desc_nulls_last(), F.col("story_id").desc()).offset((page - 1) * size).limit(size)
 
 
 def search(
@@ -75,7 +75,7 @@ def search(
     rows = rows.select("story_id", "canonical_title", "first_seen_at", title.alias("title_match"))
     if limit is None:
         return rows
-    return rows.orderBy(F.col("title_match").desc(), F.col("first_seen_at").desc(), F.col("story_id").desc()).offset(max(0, offset)).limit(min(limit, 100))
+    return rows.orderBy(F.col("title_match").desc(), F.col("first_seen_at").desc_nulls_last(), F.col("story_id").desc()).offset(max(0, offset)).limit(min(limit, 100))
 
 
 def archive(stories: DataFrame, year: int | None = None, month: int | None = None, page: int = 1, size: int = 20) -> DataFrame:
@@ -86,7 +86,7 @@ def archive(stories: DataFrame, year: int | None = None, month: int | None = Non
         end = f"{year + 1}-01-01 00:00:00" if month is None or month == 12 else f"{year}-{month + 1:02d}-01 00:00:00"
         edge = lambda s: F.to_utc_timestamp(F.lit(s).cast("timestamp"), "Asia/Kolkata")
         rows = rows.where((F.col("first_seen_at") >= edge(start)) & (F.col("first_seen_at") < edge(end)))
-    return rows.orderBy(F.col("first_seen_at").desc(), F.col("story_id").desc()).offset((page - 1) * size).limit(size)
+    return rows.orderBy(F.col("first_seen_at").desc_nulls_last(), F.col("story_id").desc()).offset((page - 1) * size).limit(size)
 
 
 def recount(stories: DataFrame, articles: DataFrame) -> DataFrame:
@@ -107,5 +107,5 @@ def unanimous(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, by: str) -> DataFrame:
-    """Count of each value, nulls as one."""
-    return df.groupBy(by).agg(F.count("*").alias("n"))
+    """Count of each value, most first, nulls as one and last."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.col(by).isNull(), F.col("n").desc(), F.col(by))

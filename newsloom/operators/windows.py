@@ -14,6 +14,12 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return best.select(*keys, *[F.col("__nl_row")[c].alias(c) for c in rest])
 
 
+def latest_or(df: DataFrame, rows: DataFrame, key: str, order: list[Column], value: str, default: str) -> DataFrame:
+    """df with the value of the latest row of each key, the default where there is none."""
+    last = latest(rows.select(key, value, *[o.alias(f"__nl_{i}") for i, o in enumerate(order)]), [key], [F.col(f"__nl_{i}") for i in range(len(order))])
+    return df.join(last.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key; a rank of at most k is kept by each partition before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -32,9 +38,14 @@ def take_while(df: DataFrame, key: str, position: str, stop: Column) -> DataFram
 
 
 def budget(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
-    """Rows of each key numbered in order, and whether they fit a budget of `most` rows."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("position", rank).withColumn("kept", F.col("position") <= most)
+    """df and whether each row is among the first `most` of its key in order (ties by the whole order).
+
+    A key's last row within the budget comes from the ranks that each partition keeps before the
+    shuffle, so a hot key isn't sorted whole in one task.
+    """
+    first = top_k(df.select(key, *order), [key], [F.col(c) for c in order], most)
+    last = first.groupBy(key).agg(F.max(F.struct(*[F.col(c) for c in order])).alias("__nl_last"))
+    return df.join(last, key, "left").withColumn("kept", F.struct(*[F.col(c) for c in order]) <= F.col("__nl_last")).drop("__nl_last")
 
 
 def range_pairs(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, within: int) -> DataFrame:

@@ -4,7 +4,7 @@ import importlib
 
 from newsloom.plans.registry import Registry, core
 
-MODULES = ("time", "articles", "stories")
+MODULES = ("time", "articles", "stories", "reads")
 
 
 def load() -> Registry:

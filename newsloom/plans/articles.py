@@ -249,13 +249,6 @@ def title_bridges(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("entity_no", languages.bridge_words(languages.hindi_nouns(F.col("h")), text.latin_nouns(F.col("l"))).alias("shared"))
 
 
-@core.query("""
-SELECT record_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(lower(coalesce(title, '')), '([0-9][0-9,]*)\\s+(?:killed|dead|deaths|died)([^\\p{L}\\p{N}_]|$)', 1), lambda x: replace(x, ',', '')::BIGINT)), 0) AS BIGINT) AS toll
-FROM article_records""")
-def title_death_toll(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "article_records").select("record_id", languages.death_toll(F.col("title")).alias("toll"))
-
-
 @core.query("""
 SELECT fetch_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
 length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '\\s+', '', 'g')) AS visible
@@ -272,12 +265,3 @@ def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
     m = lambda n: F.col(f"meta.{n}")
     trust = extract.confidence(m("title"), m("title_from_tag"), m("published"), m("description"), F.col("body"), m("titles"), m("canonical"), m("visible"))
     return held.select("temp_id", m("title").alias("title"), m("published").alias("published"), m("author").alias("author"), trust.alias("confidence"))
-
-
-@core.query()
-def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities that each article names in its title or body."""
-    names = table(spark, folder, "knowledge_entities")
-    names = names.select(F.col("entity_no").alias("entity"), F.explode(F.array_union(F.array_union(F.array("canonical_name"), "aliases"), F.array_union("hindi_names", "romanisations"))).alias("name"))
-    texts = table(spark, folder, "article_records").select("record_id", F.concat_ws("\n", "title", "body").alias("t"))
-    return lexicon.mentions(texts, names, "record_id", "t")

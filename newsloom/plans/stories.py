@@ -137,16 +137,6 @@ def claim_due(spark: SparkSession, folder: str) -> DataFrame:
     return windows.top_k(due, ["source_id"], [F.col("p"), F.col("c"), F.col("queue_id")], 5).select("source_id", "queue_id")
 
 
-@core.query("""
-SELECT count(*) FILTER (WHERE expires_at <= TIMESTAMPTZ '2026-06-15 12:00:00+00') AS deleted, count(*) FILTER (WHERE expires_at IS NULL OR expires_at > TIMESTAMPTZ '2026-06-15 12:00:00+00') AS remaining,
-count(*) FILTER (WHERE keep_reason IS NOT NULL) AS exempt FROM temp_documents""")
-def retention_report(spark: SparkSession, folder: str) -> DataFrame:
-    gone = F.col("expires_at") <= F.lit(NOW).cast("timestamp")
-    return table(spark, folder, "temp_documents").agg(
-        F.count(F.when(gone, 1)).alias("deleted"), F.count(F.when(gone.isNull() | ~gone, 1)).alias("remaining"), F.count("keep_reason").alias("exempt")
-    )
-
-
 @core.query("""
 WITH s AS (SELECT source_id, queue_id, epoch_us(min(created_at)) AS at FROM crawl_queue GROUP BY 1, 2), f AS (SELECT queue_id, epoch_us(min(fetched_at)) AS at FROM fetch_results GROUP BY 1),
 x AS (SELECT s.source_id, f.queue_id, f.at // 1000000 AS at FROM f JOIN s USING (queue_id)), y AS (SELECT source_id, record_id, epoch_us(fetched_at) // 1000000 AS at FROM article_records)
@@ -171,14 +161,6 @@ def copy_components(spark: SparkSession, folder: str) -> DataFrame:
     return cluster.components(rows.join(lowest, "h").where("record_id > a").select("a", F.col("record_id").alias("b")))
 
 
-@core.query("""
-SELECT story_id, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN 2 * len(list_intersect(x, y)) / (len(x) + len(y)) ELSE 0 END, 6) AS dice FROM
-(SELECT story_id, list_distinct(regexp_extract_all(lower(coalesce(canonical_title, '')), '([a-z]+|[ऀ-ॿ]+)', 1)) AS x, list_distinct(list_transform(coalesce(languages, []), lambda v: lower(v))) AS y FROM stories)""")
-def title_dice(spark: SparkSession, folder: str) -> DataFrame:
-    langs = F.transform(F.coalesce("languages", F.array().cast("array<string>")), F.lower)
-    return table(spark, folder, "stories").select("story_id", F.round(cluster.dice(text.tokens(F.col("canonical_title")), langs), 6).alias("dice"))
-
-
 @core.query("""
 SELECT queue_id, json_extract_string(discovery_metadata, '$.title') AS title, (json_extract_string(discovery_metadata, '$.summary_only') = 'true') AS summary_only
 FROM crawl_queue WHERE discovery_metadata IS NOT NULL""")

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a folder of our own made.
+    Only where that setting is absent and all is on one machine is a folder of our own made; on a
+    cluster each executor would write to its own disk, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")
     return named
 

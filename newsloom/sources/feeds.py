@@ -88,18 +88,48 @@ _LINK = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</a>", r
 _ASSET = re.compile(r"\.(?:jpe?g|png|gif|webp|svg|css|js|ico|mp[34]|zip|xml|json)(?:\?|$)", re.I)
 
 
-def section(page: str, base: str) -> Iterator[Entry]:
-    """The links of a section page to pages of its own site: no assets, fragments dropped, each once, titles up to 300 characters."""
+#: Parts of a path that lists and services have, not articles.
+LISTS = frozenset("tag tags category categories author authors topic topics page search login register subscribe about contact privacy terms feed rss gallery archive".split())
+_ROW = re.compile(r"<tr\b.*?</tr\s*>", re.I | re.S)
+_CELL = re.compile(r"<t[dh]\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|</tr)", re.I | re.S)
+_DATE = re.compile(r"\b(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,2}\s+[A-Za-z]{3,9}\.?,?\s+\d{4})\b")
+
+
+def _plain(markup: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", markup)).strip()
+
+
+def _row_facts(page: str) -> dict[str, tuple[str, str | None]]:
+    """Of each address linked in a table's row: the row's longest other cell and its date."""
+    facts: dict[str, tuple[str, str | None]] = {}
+    for row in _ROW.findall(page):
+        cells = [(c, _plain(c)) for c in _CELL.findall(row)]
+        date = next((m.group() for _, t in cells if (m := _DATE.search(t))), None)
+        for m in _LINK.finditer(row):
+            others = [t for c, t in cells if m.group(1) not in c and not _DATE.fullmatch(t)]
+            facts.setdefault(m.group(1).strip(), (max(others, key=len, default=""), date))
+    return facts
+
+
+def section(page: str, base: str, lists: frozenset[str] = LISTS, named: int = 12) -> Iterator[Entry]:
+    """The links of a section page to pages of its own site: no assets, no lists, fragments dropped, each once, titles up to 300 characters.
+
+    A link in a table's row takes the row's date, and its longest cell as title where its own text has fewer than `named` characters.
+    """
     home = re.sub(r"^(?:www|m)\.", "", urlsplit(base).netloc.lower())
-    seen = set()
+    seen, facts = set(), _row_facts(page)
     for m in _LINK.finditer(page):
         url = urljoin(base, m.group(1).strip()).split("#")[0]
         parts = urlsplit(url)
         there = re.sub(r"^(?:www|m)\.", "", parts.netloc.lower())
-        if parts.scheme in ("http", "https") and (there == home or there.endswith("." + home)) and parts.path.strip("/") and not _ASSET.search(url) and url not in seen:
+        inside = there == home or there.endswith("." + home)
+        if parts.scheme in ("http", "https") and inside and parts.path.strip("/") and not _ASSET.search(url) and not lists & set(parts.path.lower().strip("/").split("/")) and url not in seen:
             seen.add(url)
-            title = re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", m.group(2))).strip()[:300]
-            yield url, None, title or None, None
+            title, date = _plain(m.group(2)), None
+            if m.group(1).strip() in facts:
+                cell, date = facts[m.group(1).strip()]
+                title = cell if len(title) < named and cell else title
+            yield url, date, title[:300] or None, None
 
 
 READERS: dict[str, Callable[[str, str], Iterator[Entry]]] = {"rss": rss, "atom": atom, "sitemap": sitemap, "wordpress": wordpress, "section": section}

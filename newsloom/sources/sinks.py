@@ -32,6 +32,12 @@ def write_snapshot(df: DataFrame, folder: str, number: int) -> str:
     return path
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds anything that was written whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path))
+
+
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
     """The newest whole snapshot (one with its success mark), None without any."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop
@@ -41,3 +47,18 @@ def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
     names = sorted(s.getPath().toString() for s in fs.listStatus(root) if fs.exists(hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     return spark.read.parquet(names[-1]) if names else None
+
+
+def upsert_entities(old: DataFrame, new: DataFrame, name: str = "canonical_name", number: str = "knowledge_id") -> DataFrame:
+    """old and, of new, the entities whose name old hasn't got: one a name, that with the first number; rows without a name are left out."""
+    return insert_ignore(old.select(name, number), new.select(name, number), name, [number])
+
+
+def append_ledger(rows: DataFrame, folder: str) -> None:
+    """Adds rows to a ledger, one JSON object a line; what is there is never changed."""
+    rows.write.mode("append").json(folder)
+
+
+def write_report(row: DataFrame, folder: str) -> None:
+    """Replaces a report by one of a few rows, as one file of JSON lines."""
+    row.coalesce(1).write.mode("overwrite").json(folder)

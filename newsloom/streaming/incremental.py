@@ -21,13 +21,23 @@ def windowed_counts(stream: DataFrame, by: str, time: str, width: str = "1 day",
     return stream.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"))
 
 
-def append_new(stream: DataFrame, folder: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
-    """Keeps a table of the first row of each key: each micro-batch makes the next snapshot from the last one."""
+def append_new(stream: DataFrame, folder: str, checkpoint: str, key: str, order: list[str], buckets: int = 64) -> StreamingQuery:
+    """Keeps a table of the first row of each key, in folders by a hash of the key (column bucket).
+
+    Each micro-batch appends only the rows whose key is new: of what is there it reads the keys of the
+    buckets that its own keys fall in, and never writes a row again. A batch that is repeated after a failure
+    finds its own keys and appends what is missing.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = sinks.latest_snapshot(batch.sparkSession, folder)
-        old = batch.limit(0) if old is None else old
-        sinks.write_snapshot(sinks.insert_ignore(old, batch, key, order), folder, number)
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        new = sinks.insert_ignore(batch.limit(0), batch, key, order).withColumn("bucket", bucket)
+        if sinks.exists(spark, folder):
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            known = spark.read.parquet(folder).where(F.col("bucket").isin(touched)).select("bucket", key)
+            new = new.join(known, ["bucket", key], "left_anti")
+        new.write.mode("append").partitionBy("bucket").parquet(folder)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -20,17 +20,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import tokenizers
-from newsloom.session import cut
+from newsloom.session import cut, small
 
 #: Documents a bucket, about.
 BUCKET = 2000
 
 
 def quality(text: Column) -> Column:
-    """A weight from 0.05 to 1: the share of letters and marks in a text, less for very short texts."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", ""))
-    size = F.length(text)
-    return F.greatest(F.lit(0.05), letters / F.greatest(size, F.lit(1)) * F.least(F.lit(1.0), size / 200.0))
+    """A weight from 0.01 to 1 for running text: the product of the share of letters and marks among what is no space, the share of characters in lines that end a sentence, and how
+    varied the words are (distinct words by what as many words usually hold, the power 0.8 of their number, at most 1)."""
+    bare = F.regexp_replace(text, r"\s+", "")
+    letters = F.length(F.regexp_replace(bare, r"[^\p{L}\p{M}]+", "")) / F.greatest(F.length(bare), F.lit(1))
+    ended = F.length(F.regexp_replace(F.concat(text, F.lit("\n")), r"(?m)^.*?[^.!?।۔\"'”’»)\n]\s*$", "")) / F.greatest(F.length(text), F.lit(1))
+    words = F.split(F.lower(F.trim(text)), r"\s+")
+    varied = F.size(F.array_distinct(words)) / F.pow(F.size(words).cast("double"), F.lit(0.8))
+    one = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    return F.greatest(F.lit(0.01), one(letters) * (0.2 + 0.8 * one(ended)) * one(varied))
 
 
 def uniform(*parts: Column) -> Column:
@@ -57,9 +62,10 @@ def token_counts(df: DataFrame, text: str, tokenizer: str, keys: list[str], fold
     return done.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n")
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, seed: int = 17, folder: str = tokenizers.FOLDER) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, weight: Column | None = None, seed: int = 17, folder: str = tokenizers.FOLDER) -> DataFrame:
     """plan_id, source, key, repeats, tokens of each chosen document.
 
+    weight: the quality weight of each document, above 0 (null: 1); quality() of its text if none is given.
     targets: plan_id, source, target_share, max_repeats, tokenizer, budget_ratio. A plan's size is
     budget_ratio times the tokens of its sources; if a source can't fill its share with
     max_repeats of all its documents, the plan is made smaller, so that the shares stay right.
@@ -68,9 +74,10 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, s
     are separate documents only if they differ in text. A source without documents has no rows.
     """
     plans = targets.select("plan_id", "source", "target_share", "max_repeats", "tokenizer", "budget_ratio")
-    wanted = plans.select(F.col("source").alias("s"), F.col("tokenizer").alias("z")).distinct()
-    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t")).where("t IS NOT NULL AND t != ''")
-    rows = rows.withColumn("w", quality(F.col("t"))).withColumn("h", F.xxhash64("t")).join(wanted, "s")
+    wanted = small(plans.select(F.col("source").alias("s"), F.col("tokenizer").alias("z")).distinct())  # a source of a third of all rows is never one key of a shuffle
+    own = quality(F.col(text)) if weight is None else F.greatest(F.lit(1e-9), F.coalesce(weight, F.lit(1.0)))
+    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"), own.alias("w")).where("t IS NOT NULL AND t != ''")
+    rows = rows.withColumn("h", F.xxhash64("t")).join(wanted, "s")
     counted = cut(token_counts(rows, "t", "z", ["k", "s", "z", "w", "h"], folder).where("n > 0").dropDuplicates(["k", "s", "z", "h"]))
     totals = counted.groupBy("s", "z").agg(F.sum("n").alias("all"), F.count("*").alias("docs"), F.avg("w").alias("mean"))
     budget = plans.join(totals, (plans.source == totals.s) & (plans.tokenizer == totals.z))
@@ -80,7 +87,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, s
     budget = budget.withColumn("epochs", F.least(F.floor(F.col("budget") / F.col("all") + 1e-9), F.col("max_repeats").cast("bigint")))
     budget = budget.withColumn("rest", F.when(F.col("epochs") >= F.col("max_repeats"), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("budget") - F.col("epochs") * F.col("all"))))
     budget = budget.withColumn("buckets", F.ceil(F.col("docs") / BUCKET))
-    budget = budget.select("plan_id", "s", "z", "epochs", "rest", "buckets", "mean")
+    budget = small(budget.select("plan_id", "s", "z", "epochs", "rest", "buckets", "mean"))
     keyed = counted.join(budget, ["s", "z"])
     keyed = keyed.withColumn("key", -F.log(uniform(F.lit(seed), "plan_id", "k", "h")) / F.col("w"))
     spread = F.lit(1.0) - F.exp(-F.col("key") * F.col("mean"))

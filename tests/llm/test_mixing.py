@@ -39,6 +39,16 @@ def test_weights_decide_how_often(spark):
     assert good > 0.65 * len(rows)
 
 
+def test_weights_of_the_caller(spark):
+    docs = [(i, "s", f"Text number {i} of the source.", 1.0 if i % 2 else 0.01) for i in range(400)] + [(900, "s", "No weight is given here.", None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string, q double")
+    targets = spark.createDataFrame([(1, "s", 1.0, 1, "byte_bpe_50k", 0.3)], TARGETS)
+    from pyspark.sql import functions as F
+
+    rows = mixing.mix(df, targets, "doc_id", "text", "source", F.col("q")).collect()
+    assert sum(r.doc_id % 2 for r in rows) > 0.95 * len(rows) > 0
+
+
 def test_counts(spark):
     df = spark.createDataFrame([(1, "a b", "byte_bpe_50k"), (2, None, "piece_bpe_32k"), (3, "", "word_bpe_49k"), (4, "hello world", "word_bpe_49k")], "k int, t string, z string")
     assert {r.k: r.n for r in mixing.token_counts(df, "t", "z", ["k"]).collect()} == {1: 2, 2: 0, 3: 0, 4: 2}

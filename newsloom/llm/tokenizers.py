@@ -2,7 +2,7 @@
 
 A byte-level BPE splits text into pieces first and merges inside each piece, so a long unsplit
 piece is one long merge. Such pieces are cut into leaves that are encoded in parallel and joined
-pairwise in a tree: around each join a growing window of tokens is encoded again until its first
+pairwise in a tree, the blocks of a very long piece in tasks of their own: around each join a growing window of tokens is encoded again until its first
 and its last token agree with the tokens that stand there already. A BPE's output is right if each
 pair of neighbours is, so agreement at both ends makes the joined list equal to one long encoding.
 """
@@ -29,6 +29,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pieces of more characters than this are encoded by tree concatenation.
 UNSPLIT = 48
 LEAF_BYTES = 16
+#: Leaves of a piece that are joined in one task; a longer piece is joined in blocks first, and then its blocks.
+BLOCK = 1024
 
 
 @lru_cache(maxsize=None)
@@ -112,28 +114,36 @@ def encode(df: DataFrame, text: str, keys: list[str], tokenizer: str = "byte_bpe
     plain = rows.where(~F.col("long")).select(*names, "t").mapInArrow(direct, f"{schema}, ids array<int>")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each piece of each long text: its place, and its bytes cut into leaves."""
+        """Each piece of each long text: its place, and its bytes cut into leaves; how many blocks of leaves the piece has."""
         import regex
 
         split = regex.compile(PATTERN)
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held: dict[str, list] = {"key": [], "piece": [], "leaf": [], "data": []}
+                held: dict[str, list] = {"key": [], "piece": [], "leaf": [], "blocks": [], "data": []}
                 for n, m in enumerate(split.finditer(t)):
                     data = m.group().encode()
                     size = LEAF_BYTES if len(m.group()) > UNSPLIT else len(data)
+                    blocks = -(-len(data) // (size * BLOCK))
                     for k, at in enumerate(range(0, len(data), size)):
-                        for name, x in zip(held, (key, n, k, data[at : at + size])):
+                        for name, x in zip(held, (key, n, k, blocks, data[at : at + size])):
                             held[name].append(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(held["key"], pa.binary()), pa.array(held["piece"], pa.int32()), pa.array(held["leaf"], pa.int32()), pa.array(held["data"], pa.binary())], list(held)
-                )
+                kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(held.values(), kinds)], list(held))
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tiktoken_encoding(tokenizer, folder)
         for batch in batches:
-            ids = [encoding._encode_single_piece(x) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["key", "piece", "leaf", "ids"])
+            ids = [encoding._encode_single_piece(x) for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32()))], ["key", "piece", "leaf", "blocks", "ids"])
+
+    def join_block(table: pa.Table) -> pa.Table:
+        """The leaves of a block as one: its number stands for theirs."""
+        encoding = tiktoken_encoding(tokenizer, folder)
+        byte = lambda ids: b"".join(map(encoding.decode_single_token_bytes, ids))
+        leaf, ids = zip(*sorted(zip(table["leaf"].to_pylist(), table["ids"].to_pylist())))
+        joined = join_tree(list(ids), encoding._encode_single_piece, byte)
+        return pa.table([table["key"].slice(0, 1).combine_chunks(), table["piece"].slice(0, 1).combine_chunks(), pa.array([leaf[0] // BLOCK], pa.int32()), pa.array([joined], pa.list_(pa.int32()))], ["key", "piece", "leaf", "ids"])
 
     def join(table: pa.Table) -> pa.Table:
         encoding = tiktoken_encoding(tokenizer, folder)
@@ -151,8 +161,11 @@ def encode(df: DataFrame, text: str, keys: list[str], tokenizer: str = "byte_bpe
 
     hard = cut(rows.where("long").withColumn("key", F.unhex(F.sha2("t", 256))))  # read twice below
     distinct = hard.select("key", "t").dropDuplicates(["key"])
-    parts = distinct.mapInArrow(leaves, "key binary, piece int, leaf int, data binary").repartition("key", F.floor(F.col("leaf") / 1024))
-    whole = parts.mapInArrow(encode_leaves, "key binary, piece int, leaf int, ids array<int>").groupBy("key").applyInArrow(join, "key binary, ids array<int>")
+    parts = distinct.mapInArrow(leaves, "key binary, piece int, leaf int, blocks int, data binary").repartition("key", F.floor(F.col("leaf") / BLOCK))
+    encoded = cut(parts.mapInArrow(encode_leaves, "key binary, piece int, leaf int, blocks int, ids array<int>"))
+    wide = encoded.where("blocks > 1").groupBy("key", "piece", F.floor(F.col("leaf") / BLOCK)).applyInArrow(join_block, "key binary, piece int, leaf int, ids array<int>")
+    encoded = encoded.where("blocks = 1").select("key", "piece", "leaf", "ids").unionByName(wide)
+    whole = encoded.groupBy("key").applyInArrow(join, "key binary, ids array<int>")
     rest = hard.select(*names, "key").join(whole, "key").select(*names, "ids")
     done = plain.unionByName(rest)
     return done.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("ids").alias(out))

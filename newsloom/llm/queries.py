@@ -59,13 +59,21 @@ def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
     return language.detect(_labelled(spark, folder), "text", ["src", "row_id"], _model(spark, folder))
 
 
-@llm.query()
+_LINES = r"""WITH b AS (SELECT record_id, source_id, string_split(body, chr(10)) AS w FROM article_records WHERE body IS NOT NULL AND source_id IS NOT NULL),
+l AS (SELECT record_id, source_id, unnest(range(len(w))) AS line_no, unnest(w) AS line FROM b), k AS (SELECT record_id, source_id, line_no, regexp_replace(lower(line), '[^\p{L}\p{M}]+', '', 'g') AS k FROM l),
+t AS (SELECT source_id, count(DISTINCT record_id) AS n FROM article_records GROUP BY 1), c AS (SELECT source_id, k, count(DISTINCT record_id) AS r FROM k WHERE k <> '' GROUP BY 1, 2),
+f AS (SELECT source_id, k FROM c JOIN t USING (source_id) WHERE r >= 4 AND r * 10 >= n)"""
+
+
+@llm.query(f"{_LINES} SELECT DISTINCT record_id, line_no::BIGINT AS line_no FROM k JOIN f USING (source_id, k)")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """record_id, line_no: lines that recur across the records of a source."""
     return boilerplate.repeated_lines(table(spark, folder, "article_records"), "record_id", "source_id", "body").select("record_id", "line_no")
 
 
-@llm.query()
+@llm.query(f"""{_LINES}, g AS (SELECT DISTINCT record_id, line_no FROM k JOIN f USING (source_id, k)), h AS (SELECT record_id, list(line_no) AS gone FROM g GROUP BY 1)
+SELECT a.record_id, CASE WHEN h.gone IS NULL THEN a.body ELSE array_to_string(list_filter(list_transform(range(len(string_split(a.body, chr(10)))), lambda i: CASE WHEN list_contains(h.gone, i) THEN NULL ELSE string_split(a.body, chr(10))[i + 1] END),
+lambda x: x IS NOT NULL), chr(10)) END AS body FROM article_records a LEFT JOIN h ON h.record_id = a.record_id""")
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     """record_id and body of each article without the lines of p3_found."""
     articles = table(spark, folder, "article_records").select("record_id", "source_id", "body")

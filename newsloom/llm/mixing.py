@@ -27,15 +27,12 @@ BUCKET = 2000
 
 
 def quality(text: Column) -> Column:
-    """A weight from 0.01 to 1 for running text: the product of the share of letters and marks among what is no space, the share of characters in lines that end a sentence, and how
-    varied the words are (distinct words by what as many words usually hold, the power 0.8 of their number, at most 1)."""
-    bare = F.regexp_replace(text, r"\s+", "")
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}\p{M}]+", "")) / F.greatest(F.length(bare), F.lit(1))
-    ended = F.length(F.regexp_replace(F.concat(text, F.lit("\n")), r"(?m)^.*?[^.!?।۔\"'”’»)\n]\s*$", "")) / F.greatest(F.length(text), F.lit(1))
-    words = F.split(F.lower(F.trim(text)), r"\s+")
-    varied = F.size(F.array_distinct(words)) / F.pow(F.size(words).cast("double"), F.lit(0.8))
-    one = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    return F.greatest(F.lit(0.01), one(letters) * (0.2 + 0.8 * one(ended)) * one(varied))
+    """A weight from 0.01 to 1 for running text: the share of letters and marks, by the share of characters in lines that end a sentence."""
+    size = F.greatest(F.length(text), F.lit(1))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", "")) / size
+    ended = F.filter(F.split(text, "\n"), lambda line: F.right(line, F.lit(3)).rlike(r"[.!?।۔][\"'”’»)]*\s*$"))
+    told = F.length(F.array_join(ended, "\n")) / size
+    return F.greatest(F.lit(0.01), letters * (0.2 + 0.8 * F.least(F.lit(1.0), told)))
 
 
 def uniform(*parts: Column) -> Column:

@@ -68,13 +68,12 @@ def simhash(words: pd.Series) -> pd.Series:
     """64 bits, each set if the words' SHA-256 bits, weighted by frequency, sum above 0; as a signed number."""
 
     def one(items: list[str] | None) -> int:
-        sums = [0] * 64
-        for w in [] if items is None else items:
-            h = int.from_bytes(hashlib.sha256(w.encode()).digest()) & ((1 << 64) - 1)
-            for k in range(64):
-                sums[k] += 1 if h >> k & 1 else -1
-        value = sum(1 << k for k in range(64) if sums[k] > 0)
-        return value - (1 << 64) if value >> 63 else value
+        if items is None or not len(items):
+            return 0
+        held, counts = np.unique(np.asarray(items, object).astype(str), return_counts=True)
+        digests = np.frombuffer(b"".join(hashlib.sha256(w.encode()).digest()[24:] for w in held.tolist()), np.uint8).reshape(-1, 8)
+        ones = counts @ np.unpackbits(digests, axis=1).astype(np.int64)
+        return int(np.packbits(2 * ones > counts.sum()).view(">i8")[0])
 
     return words.map(one)
 

@@ -1,7 +1,7 @@
 """Phrases of a lexicon found in texts.
 
 A lexicon is a table of label, phrase and weight; it is the caller's parameter and is compiled once
-a worker. Longer phrases are looked for first and take their span, so a phrase inside another one
+a worker: one automaton of all phrases tells which occur in a text at all, and only those are matched at word limits. Longer phrases are looked for first and take their span, so a phrase inside another one
 doesn't count twice. A hit in the title counts twice, in the body once, whatever its frequency.
 """
 
@@ -24,6 +24,31 @@ def compile_phrase(phrase: str) -> re.Pattern:
     return re.compile(re.escape(phrase))
 
 
+class Finder:
+    """Which of many phrases may occur in a text, in one pass over it."""
+
+    def __init__(self, phrases: list[str]) -> None:
+        self.phrases = phrases
+        try:
+            import ahocorasick
+        except ImportError:  # then each phrase is looked for
+            self.automaton = None
+            return
+        self.automaton = ahocorasick.Automaton()
+        for i, phrase in enumerate(phrases):
+            key = phrase.lower()
+            self.automaton.add_word(key, (*self.automaton.get(key, ()), i))
+        if phrases:
+            self.automaton.make_automaton()
+
+    def within(self, *texts: str | None) -> set[int]:
+        """Numbers of the phrases that occur, letter case aside."""
+        lower = [t.lower() for t in texts if t]
+        if self.automaton is None:
+            return {i for i, p in enumerate(self.phrases) if any(p.lower() in t for t in lower)}
+        return {i for t in lower for _, held in (self.automaton.iter(t) if self.phrases else ()) for i in held}
+
+
 def score(title: str, body: str, phrases: list[tuple[str, re.Pattern, float]]) -> float:
     """phrases: (phrase, pattern, weight), longest first."""
     total = 0.0
@@ -47,12 +72,14 @@ def label(df: DataFrame, lexicon: DataFrame, title: str, body: str, key: str, le
         raise ValueError(f"a lexicon has at most {_MOST} phrases")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by: dict[str, list] = {}
-        for name, phrase, weight in sorted(rows, key=lambda r: (-len(r[1]), r[1])):
-            by.setdefault(name, []).append((phrase, compile_phrase(phrase), weight))
+        ordered = [(name, phrase, compile_phrase(phrase), weight) for name, phrase, weight in sorted(rows, key=lambda r: (-len(r[1]), r[1])) if phrase]
+        finder, names = Finder([phrase for _, phrase, _, _ in ordered]), dict.fromkeys(name for name, _, _, _ in ordered)
         for batch in batches:
             out = []
             for t, b in zip(batch["title"], batch["body"]):
+                by: dict[str, list] = {name: [] for name in names}
+                for i in sorted(finder.within(t, b)):
+                    by[ordered[i][0]].append(ordered[i][1:])
                 ranked = sorted(((-score(t, b, phrases), name) for name, phrases in by.items()), key=lambda r: (r[0], r[1]))
                 best, name = (-ranked[0][0], ranked[0][1]) if ranked else (0.0, None)
                 second = -ranked[1][0] if len(ranked) > 1 else 0.0

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import codes
+from newsloom.session import BROADCAST
 
 
 def claim(queue: DataFrame, ready: Column, order: list[Column], most: int, state: str, now: Column) -> DataFrame:
     """queue with the first `most` ready rows put in `state`, their attempts one more."""
     taken = queue.where(ready).orderBy(*order).limit(most).select("queue_id").withColumn("__nl_taken", F.lit(True))
-    held = queue.join(F.broadcast(taken), "queue_id", "left")  # at most `most` rows
+    held = queue.join(F.broadcast(taken) if most <= BROADCAST else taken, "queue_id", "left")
     own = F.coalesce("__nl_taken", F.lit(False))
     changed = {"status": F.when(own, state).otherwise(F.col("status")), "attempts": F.col("attempts") + own.cast("int"), "updated_at": F.when(own, now).otherwise(F.col("updated_at"))}
     return held.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in queue.columns])

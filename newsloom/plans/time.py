@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import timestamps
 from newsloom.plans.registry import core
+from newsloom.session import small
 from newsloom.sources import table
 
 STAMPS = (("article_records", "record_id", "published_at"), ("crawl_queue", "queue_id", "discovered_at"), ("wp_posts", "post_id", "post_date"))
@@ -15,7 +16,7 @@ STAMPS = (("article_records", "record_id", "published_at"), ("crawl_queue", "que
 def _stamps(spark: SparkSession, folder: str) -> DataFrame:
     """src, row_id, value and its instant for the three dated tables.
 
-    sources is a fixed table of 40 rows, so it is broadcast and its zones are read to the driver.
+    The zones of sources and those named in brackets are read to the driver: at most as many as the zone database has.
     """
     sources = table(spark, folder, "sources").select("source_id", "home_tz", "date_order")
     zones = [r[0] for r in sources.select("home_tz").where("home_tz IS NOT NULL").distinct().collect()]
@@ -25,7 +26,7 @@ def _stamps(spark: SparkSession, folder: str) -> DataFrame:
     ]
     rows = reduce(DataFrame.unionByName, rows)
     zones += timestamps.named_zones(rows, "value")
-    rows = rows.join(F.broadcast(sources), "source_id", "left")
+    rows = rows.join(small(sources), "source_id", "left")
     return timestamps.attach(rows, "value", "home_tz", "date_order", timestamps.offset_intervals(spark, zones))
 
 

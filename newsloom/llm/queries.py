@@ -91,7 +91,7 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     kept = table(spark, folder, "temp_documents").select(
         F.lit("temp_documents").alias("src"), F.col("temp_id").alias("row_id"), host(F.col("url")).alias("host"), F.col("url").alias("page"), F.col("raw_html").alias("text"), F.lit(True).alias("markup")
     )
-    weak = table(spark, folder, "article_records").where("extraction_confidence = 'low'").join(F.broadcast(domains), "source_id", "left").select(
+    weak = table(spark, folder, "article_records").where("extraction_confidence = 'low'").join(small(domains), "source_id", "left").select(
         F.lit("article_records").alias("src"), F.col("record_id").alias("row_id"), "host", F.coalesce("url", F.col("record_id").cast("string")).alias("page"), F.col("body").alias("text"), F.lit(False).alias("markup")
     )
     return fetched.unionByName(kept).unionByName(weak)
@@ -165,7 +165,7 @@ def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
     records = _sound_articles(spark, folder).select(
         F.col("record_id").alias("id"), F.col("batch_no").alias("batch"), F.col("source_id").alias("source"), F.coalesce(given, "url").alias("url"), "title", "body"
     )
-    return known.unionByName(records).join(F.broadcast(names), "source", "left")
+    return known.unionByName(records).join(small(names), "source", "left")
 
 
 BATCHES = [1, 2, 3, 4, 5, 6]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import hashing, languages, text
+from newsloom.operators import cluster
 from newsloom.session import cut
 
 
@@ -142,3 +143,36 @@ def near_duplicates(df: DataFrame, threshold: float = 0.6, least_terms: int = 10
     blocks = split.groupBy(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     pairs = blocks.applyInPandas(lambda table: _compare(threshold, table), "id_a bigint, id_b bigint, cosine double")
     return pairs.unionByName(members)
+
+
+def compare_texts(pairs: DataFrame, a: str, b: str, least: int = 10, threshold: float = 0.60) -> DataFrame:
+    """pairs with verdict (insufficient, near or different), cosine of content words, estimate (shared runs of five words by their minimum hashes) and distance (bits of the words' SimHash).
+
+    A text of fewer than `least` content words can't be judged; the estimate and the distance are told, not judged by.
+    """
+    words = lambda c: text.tokens(F.col(c))
+    content = lambda c: F.filter(words(c), lambda w: ~w.isin(*languages.ENGLISH, *languages.HINDI))
+    held = pairs.withColumns({"__nl_a": content(a), "__nl_b": content(b)})
+    held = held.withColumn("cosine", hashing.word_cosine("__nl_a", "__nl_b"))
+    held = held.withColumn("estimate", hashing.agreement(hashing.minhash(text.shingles(words(a), 5)), hashing.minhash(text.shingles(words(b), 5))))
+    held = held.withColumn("distance", hashing.hamming(hashing.simhash(words(a)), hashing.simhash(words(b))))
+    few = (F.size("__nl_a") < least) | (F.size("__nl_b") < least)
+    return held.withColumn("verdict", F.when(few, "insufficient").when(F.col("cosine") >= threshold, "near").otherwise("different")).drop("__nl_a", "__nl_b")
+
+
+def assign(new: DataFrame, known: DataFrame, near: DataFrame, stories: DataFrame, story_pairs: DataFrame, threshold: float = 0.60) -> DataFrame:
+    """id, duplicate_of, rule, story_id of each new article.
+
+    In order: an exact duplicate (exact_duplicates), a near one of the same source (the highest
+    cosine, then the lowest id), else the best story of its pairs. near: id, known_id, source_id,
+    known_source, cosine. stories: id, story_id of known articles. story_pairs: id, story_id, score.
+    A duplicate takes the story of what it repeats.
+    """
+    exact = exact_duplicates(new, known)
+    own = near.where("source_id = known_source").groupBy("id").agg(F.max_by("known_id", F.struct("cosine", (-F.col("known_id")).alias("first"))).alias("of"))
+    held = new.select("id").join(exact, "id", "left").join(own, "id", "left")
+    held = held.select("id", F.coalesce("duplicate_of", "of").alias("duplicate_of"), F.coalesce("rule", F.when(F.col("of").isNotNull(), "near")).alias("rule"))
+    told = stories.select(F.col("id").alias("duplicate_of"), F.col("story_id").alias("__nl_told"))
+    best = cluster.assign(story_pairs, "id", "story_id", "score", threshold).select("id", F.col("story_id").alias("__nl_best"))
+    held = held.join(told, "duplicate_of", "left").join(best, "id", "left")
+    return held.select("id", "duplicate_of", "rule", F.when(F.col("rule").isNull(), F.col("__nl_best")).otherwise(F.col("__nl_told")).alias("story_id"))

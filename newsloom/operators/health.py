@@ -40,3 +40,10 @@ def volume_alerts(current: DataFrame, baseline: DataFrame, key: str) -> DataFram
     held = baseline.join(current, key, "left").fillna(0, ["current"])
     level = F.when((F.col("median") >= 5) & (F.col("current") == 0), "critical").when((F.col("median") >= 10) & (F.col("current") < 0.2 * F.col("median")), "warning")
     return held.select(key, "median", "current", level.alias("level")).where("level IS NOT NULL")
+
+
+def drift_alerts(current: DataFrame, baseline: DataFrame, key: str, least: int = 10, rise: float = 0.3) -> DataFrame:
+    """key, was, share: sources whose share of weak results (weak of all) rose by more than `rise` over its baseline, with at least `least` results now. Both: key, weak, all."""
+    share = F.when(F.col("all") > 0, F.col("weak") / F.col("all")).otherwise(0.0)
+    held = current.where(F.col("all") >= least).select(key, share.alias("share")).join(baseline.select(key, share.alias("was")), key, "left")
+    return held.select(key, F.coalesce("was", F.lit(0.0)).alias("was"), "share").where(F.col("share") - F.col("was") > rise)

@@ -135,3 +135,9 @@ def fuse(rule: Column, rule_confidence: Column, stat: Column, stat_confidence: C
     return F.struct(
         F.when(agree, rule).when(sure, stat).otherwise(rule).alias("label"), F.when(agree, mean).when(sure, 0.60).otherwise(0.40).alias("confidence"), F.when(agree, mean < 0.60).otherwise(True).alias("review")
     )
+
+
+def hybrid_gate(df: DataFrame, truth: str, rule: str, said: str, fused: str) -> DataFrame:
+    """One row: macro F1 of a rule, of a model (judged on rows it wasn't fitted on) and of both fused, and whether the fusion is at least as good as the rule."""
+    parts = [evaluate.macro_f1(df, truth, c).select(F.col("macro_f1").alias(n)) for n, c in (("rule", rule), ("model", said), ("fused", fused))]  # a row each
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2]).withColumn("pass", F.col("fused") >= F.col("rule"))

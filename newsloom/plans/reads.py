@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import codes, text
-from newsloom.operators import cluster, evaluate, evidence, extract, lexicon, pages, queue, retention, serve, windows
+from newsloom.functions import codes, languages, text
+from newsloom.operators import cluster, dedup, evaluate, evidence, extract, lexicon, pages, queue, retention, serve, windows
 from newsloom.plans.registry import core
 from newsloom.sources import sinks, table
 
@@ -310,3 +310,22 @@ def label_report(spark: SparkSession, folder: str) -> DataFrame:
     """How often a record's language is its source's, as a report of metrics."""
     rows = table(spark, folder, "article_records").select("source_id", F.substring_index(F.lower(F.trim("language")), "-", 1).alias("said")).join(table(spark, folder, "sources").select("source_id", F.col("language").alias("truth")), "source_id")
     return evaluate.report({"language": evaluate.accuracy(rows, "truth", "said")})
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({*languages.ENGLISH, *languages.HINDI}))
+
+
+@core.query(f"""
+WITH f AS (SELECT story_id, arg_min(record_id, (fetched_at, record_id)) AS first FROM article_records WHERE story_id IS NOT NULL AND fetched_at IS NOT NULL AND body IS NOT NULL GROUP BY 1),
+p AS (SELECT DISTINCT a.record_id AS id, f.first FROM article_records a JOIN f ON f.story_id = a.story_id WHERE a.record_id <> f.first AND a.body IS NOT NULL),
+w AS (SELECT record_id, unnest(list_filter(regexp_extract_all(lower(body), '([a-z]+|[ऀ-ॿ]+)', 1), lambda x: x NOT IN ({_STOP}))) AS t FROM article_records WHERE body IS NOT NULL),
+c AS (SELECT record_id, t, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT record_id, sqrt(sum(n * n)) AS l, sum(n) AS words FROM c GROUP BY 1),
+d AS (SELECT p.id, p.first, sum(a.n * b.n) AS dot FROM p JOIN c a ON a.record_id = p.id JOIN c b ON b.record_id = p.first AND b.t = a.t GROUP BY ALL)
+SELECT p.id, p.first, CASE WHEN coalesce(x.words, 0) < 10 OR coalesce(y.words, 0) < 10 THEN 'insufficient' WHEN round(coalesce(dot / (x.l * y.l), 0), 3) >= 0.6 THEN 'near' ELSE 'different' END AS verdict
+FROM p LEFT JOIN d ON d.id = p.id AND d.first = p.first LEFT JOIN l x ON x.record_id = p.id LEFT JOIN l y ON y.record_id = p.first""")
+def report_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """How each report of a story compares with the story's first."""
+    rows = table(spark, folder, "article_records").where("story_id IS NOT NULL AND body IS NOT NULL").select(F.col("record_id").alias("id"), "story_id", "fetched_at", "body")
+    first = rows.where("fetched_at IS NOT NULL").groupBy("story_id").agg(F.min(F.struct("fetched_at", F.col("id").alias("first"), F.col("body").alias("first_body"))).alias("m"))
+    pairs = rows.join(first, "story_id").select("id", "body", "m.first", "m.first_body").where("id != first")
+    return dedup.compare_texts(pairs, "body", "first_body").select("id", "first", "verdict").distinct()

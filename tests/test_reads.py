@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import codes, params, text
-from newsloom.operators import cluster, dedup, evaluate, evidence, extract, lexicon, models, pages, queue, retention, windows
+from newsloom.operators import analyze, cluster, dedup, evaluate, evidence, extract, health, lexicon, models, pages, queue, retention, windows
 from newsloom.sources import feeds, sinks
 
 
@@ -198,3 +198,39 @@ def test_windows_and_retention(spark):
     assert rows(windows.latest_or(spark.createDataFrame([(1,), (9,)], "k int"), df, "k", [F.col("p")], "v", "none")) == [(1, "a"), (9, "none")]
     kept = spark.createDataFrame([(1, "2026-01-01", None), (2, "2027-01-01", "x"), (3, None, "y")], "id int, e string, keep_reason string").withColumn("expires_at", F.col("e").cast("timestamp"))
     assert list(retention.report(kept, F.lit("2026-06-01").cast("timestamp")).first()) == [1, 2, 2]
+
+
+def test_compare_texts(spark):
+    a = "the council opened a new bridge near the market after long delay and residents asked for a fresh count of houses"
+    df = spark.createDataFrame([(1, a, a), (2, a, a.replace("bridge", "canal")), (3, a, "words of quite another story about rain wind crops seeds fields barns tractors ploughs"), (4, a, "too short"), (5, None, a)], "i int, x string, y string")
+    got = {r.i: r for r in dedup.compare_texts(df, "x", "y").collect()}
+    assert [got[i].verdict for i in range(1, 6)] == ["near", "near", "different", "insufficient", "insufficient"]
+    assert (got[1].cosine, got[1].estimate, got[1].distance) == (1.0, 1.0, 0) and 0.8 < got[2].cosine < 1 and got[2].distance < got[3].distance and got[3].estimate < 0.1
+
+
+def test_assign(spark):
+    keys = "id bigint, source_id int, canonical_key string, content_key string, headline_key string"
+    known = spark.createDataFrame([(1, 1, "u1", "c1", "h1"), (2, 1, "u2", "c2", "h2"), (3, 2, "u3", "c3", "h3")], keys)
+    new = spark.createDataFrame([(10, 1, "u1", "x", "y"), (11, 1, "n1", "x1", "y1"), (12, 1, "n2", "x2", "y2"), (13, 1, "n3", "x3", "y3")], keys)
+    near = spark.createDataFrame([(10, 2, 1, 1, 0.9), (11, 2, 1, 1, 0.7), (11, 1, 1, 1, 0.7), (11, 3, 1, 2, 0.99)], "id bigint, known_id bigint, source_id int, known_source int, cosine double")
+    stories = spark.createDataFrame([(1, 100), (2, 200)], "id bigint, story_id bigint")
+    pairs = spark.createDataFrame([(12, 300, 0.8), (12, 301, 0.8), (13, 300, 0.5), (11, 300, 0.9)], "id bigint, story_id bigint, score double")
+    assert rows(dedup.assign(new, known, near, stories, pairs)) == [(10, 1, "canonical_url", 100), (11, 1, "near", 100), (12, None, None, 300), (13, None, None, None)]
+
+
+def test_analyze(spark):
+    articles = spark.createDataFrame([(1, 1, "https://a/1", None, "Bridge opens in Gaya", "d", "Gaya: The bridge of the town was opened on Monday and 12 boats were moved."), (2, 1, None, None, None, None, None)], "id int, source_id int, url string, canonical_url string, title string, description string, body string")
+    phrases = spark.createDataFrame([("works", "bridge", 2.0), ("works", "was opened", 1.0), ("sport", "cricket", 2.0)], "label string, phrase string, weight double")
+    entities = spark.createDataFrame([("e1", ["Gaya"], "town")], "entity string, names array<string>, family string")
+    one, two = sorted(analyze.bundle(articles, {"topic": (phrases, 2.0)}, entities).collect(), key=lambda r: r.id)
+    assert one.topic == "works" and one.dateline == "Gaya" and [n.entity for n in one.named] == ["e1"] and one.numbers == ["12"] and one.canonical_key == "https://a/1"
+    assert two.topic is None and two.named is None and two.fingerprint == 0
+
+
+def test_hybrid_gate_and_drift(spark):
+    df = spark.createDataFrame([("a", "a", "b", "a"), ("b", "a", "b", "b")], "t string, r string, m string, f string")
+    one = models.hybrid_gate(df, "t", "r", "m", "f").first()
+    assert one.fused == 1.0 and one["pass"] and one.rule < 1
+    now = spark.createDataFrame([(1, 8, 10), (2, 1, 10), (3, 2, 2), (4, 9, 20)], "k int, weak int, all int")
+    was = spark.createDataFrame([(1, 1, 10), (2, 1, 10), (3, 0, 9)], "k int, weak int, all int")
+    assert rows(health.drift_alerts(now, was, "k")) == [(1, 0.1, 0.8), (4, 0.0, 0.45)]

@@ -16,6 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
     cluster each executor would write to its own disk, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and given.isDefined():  # set on the context by the caller
+        return given.get()
     if not named:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import counted
+
 _MOST = 100_000
 
 
@@ -101,20 +103,19 @@ def mentions(df: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """key, entity: each name of a dictionary (entity, name) that a text holds at word limits.
 
     Names and texts are cut into the same word runs, so this is an equality join of runs of up to
-    the longest name's words, not a comparison of each name with each text.
+    the longest name's words, not a comparison of each name with each text. The names are broadcast
+    by their count, never by an estimate; then no run is shuffled that is no name.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
     surfaces = names.select("entity", words(F.col("name")).alias("w")).where(F.size("w") > 0)
-    surfaces = surfaces.select("entity", F.array_join("w", " ").alias("surface"), F.size("w").alias("n")).distinct()
+    surfaces = counted(surfaces.select("entity", F.array_join("w", " ").alias("surface"), F.size("w").alias("n")).distinct())
     sizes = sorted(r[0] for r in surfaces.select("n").distinct().collect())  # lengths of names in words
     texts = df.select(F.col(key).alias("k"), words(F.col(text)).alias("w"))
-    runs = F.lit(None).cast("array<string>")
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
-        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+    def of(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
 
-    parts = [of(n) for n in sizes]
-    runs = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])) if parts else runs
-    found = texts.select("k", F.explode(F.array_distinct(runs)).alias("surface")).join(surfaces, "surface")
+    # one expression for all lengths, so the plan is as long for any dictionary
+    fit = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size("w"))
+    found = texts.select("k", F.explode(F.array_distinct(F.flatten(F.transform(fit, of)))).alias("surface")).join(surfaces.drop("n"), "surface")
     return found.select(F.col("k").alias(key), "entity").distinct()

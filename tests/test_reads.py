@@ -103,6 +103,19 @@ def test_evidence(spark):
     assert evidence.collect(texts.limit(0), entities, "id", "title", "body").count() == 0 and lexicon.mentions(texts, entities.select("entity", F.explode("names").alias("name")).limit(0), "id", "body").count() == 0
 
 
+def test_evidence_broadcasts_by_count_only(spark, monkeypatch, tmp_path):
+    entities = spark.createDataFrame([(f"d{i}", [f"Gaya {'North ' * (i % 9)}{i}"], "town") for i in range(60)], "entity string, names array<string>, family string")
+    texts = spark.createDataFrame([(i, f"Gaya {i} opens", f"Gaya {'North ' * (i % 9)}{i}: closed") for i in range(60)], "id int, title string, body string")
+    entities.write.parquet(f"{tmp_path}/e")  # by the size of its file a table looks small
+    texts.write.parquet(f"{tmp_path}/t")
+    call = lambda: evidence.collect(spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/e"), "id", "title", "body")
+    want = rows(call())
+    assert sorted(r[0] for r in want) == list(range(60)) and {r[3] for r in want} == {"title", "body"}
+    monkeypatch.setattr("newsloom.session.BROADCAST", 59)
+    got = call()
+    assert rows(got) == want and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_codes(spark):
     now = F.lit("2026-06-15 12:00:00").cast("timestamp")
     said = ["120", "99999", "Mon, 15 Jun 2026 12:05:00 GMT", "Mon, 15 Jun 2026 11:00:00 GMT", "soon", "", None, "-5"]
